@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import distinctive, near_duplicates
+from quillon.llm import clusters, distinctive, near_duplicates, neighbours
 from quillon.runtime import table
 
 SONG_TEXT = ("track_name", "lyrics")
 SONG_WORDS = ("track_name", "track_artist", "lyrics")
+#: The full length of a vector of each medium.
+LENGTHS = {"image": 128, "audio": 56}
 NEAR = {"similarity": (7, 10), "min_words": 30}
 
 
@@ -32,6 +35,30 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(table(spark, sf_dir, "spotify_songs"), "row_id", SONG_WORDS, **NEAR)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = table(spark, sf_dir, "media_features")
+    near = neighbours.similar_pairs(media, "vec_id", "medium", "feature", LENGTHS, min_cosine=0.985, k=8, probes=4)
+    return near.select("vec_id_a", "vec_id_b")
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = table(spark, sf_dir, "media_features")
+    near = neighbours.nearest(media, "vec_id", "medium", "feature", LENGTHS, k=8, probes=128, query_filter="id % 20 = 0")
+    return near.select(F.col("id").alias("vec_id"), "neighbour", "rank", F.round("cosine", 3).alias("cosine"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = table(spark, sf_dir, "media_features")
+    _, members = clusters.clusters(media, "vec_id", "medium", "feature", LENGTHS, threshold=0.8, min_size=3)
+    return members.select(F.col("id").alias("vec_id"), "cluster_id")
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = table(spark, sf_dir, "media_features")
+    rows, members = clusters.clusters(media, "vec_id", "medium", "feature", LENGTHS, threshold=0.8, min_size=3)
+    return clusters.described(rows, members).withColumnRenamed("grp", "medium")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: function
