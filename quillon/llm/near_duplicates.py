@@ -187,7 +187,7 @@ def _region_joiner(num: int, den: int, block: int):
 def _block_joiner(num: int, den: int):
     """Join two blocks of one region, or one with itself; the left block's rows come first."""
 
-    def run(key, batch: pa.Table) -> pa.Table:
+    def run(key, batch):  # no annotations: Spark reads them
         side = batch.column("side").to_numpy()
         cols = {c: batch.column(c).to_numpy() for c in ("b", "n", "b0", "b1")}
         x, y = (
@@ -265,8 +265,9 @@ def class_links(
 def _verified(df: DataFrame, id_col: str, text_cols: Sequence[str], pairs: DataFrame, min_words: int, num: int, den: int) -> DataFrame:
     """Candidates whose words do reach the similarity; only their own words are shuffled."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = word_sets(df, id_col, text_cols, min_words).withColumn("id", F.col("id").cast("long"))
-    sets = stage(sets.join(ends, "id", "left_semi"), "words")
+    texts = df.join(ends.withColumnRenamed("id", id_col), id_col, "left_semi")
+    sets = word_sets(texts, id_col, text_cols, min_words).withColumn("id", F.col("id").cast("long"))
+    sets = stage(sets, "words")
     one = sets.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("n").alias("na"))
     two = sets.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("n").alias("nb"))
     both = pairs.join(one, "a").join(two, "b")
