@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import clusters, distinctive, near_duplicates, neighbours
+from quillon.llm import clusters, distinctive, mixing, near_duplicates, neighbours, sentences, tokens
 from quillon.runtime import table
 
 SONG_TEXT = ("track_name", "lyrics")
@@ -59,6 +59,36 @@ def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.described(rows, members).withColumnRenamed("grp", "medium")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    back = tokens.decode(tokens.encode(docs, "doc_id", "text"), "doc_id", "ids").withColumnRenamed("text", "decoded")
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return docs.select("doc_id", "text").join(back, "doc_id").groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    mixed, _ = mixing.mixed_documents(docs, targets, "doc_id", "text", "source")
+    return mixed
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    return mixing.mixed_documents(docs, targets, "doc_id", "text", "source")[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "end_pos")
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: function
