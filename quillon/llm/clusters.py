@@ -1,11 +1,11 @@
 """Clusters of mutually similar vectors by parallel pivot correlation clustering.
 
-In every round each row still open looks, within the lists of a coarse index fitted on
-the open rows, for the similar row of lowest hash. A row that finds none lower than
-itself is a local minimum and becomes a pivot; a row whose lowest is a pivot is absorbed
-by it. Pivots stay open, so pivots of one cluster that lay in different lists meet in a
-later round, whose index is fitted on far fewer rows. Rounds end when nothing is
-absorbed. Members then go to the closest pivot of any cluster, and medoids are taken anew.
+Rows are ordered by a hash of their ids. In the first round each list of a coarse index
+settles by itself: a row with no similar row of lower hash is a local minimum and
+becomes a pivot, pivots absorb the rows similar to them, and so on. Pivots stay open.
+In each later round the open rows meet in lists of an index fitted on them alone, several
+lists a row; whose lowest similar row is a pivot is absorbed by it. Rounds end when
+nothing is absorbed. Members then go to the closest pivot, and medoids are taken anew.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from quillon.runtime import stage
 
 
 def _cells(index: V.Index, probes: int, salt: int):
-    """(cell, role, id, vec): each row once in each of its closest lists, in one block of it."""
+    """(cell, grp, id, vec): each row once in each of its closest lists, in one block of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, ids, x in V.by_group(batches):
@@ -34,8 +34,8 @@ def _cells(index: V.Index, probes: int, salt: int):
                 lists = lists.reshape(-1)
                 cell = index.cells[lists] + (V.mixed(own[at], salt) % index.blocks[lists].astype(np.uint64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(np.zeros(len(at), np.int32)), pa.array(own[at]), V.as_binary(part[at])],
-                    ["cell", "role", "id", "vec"],
+                    [pa.array(cell), pa.array([g] * len(at), pa.string()), pa.array(own[at]), V.as_binary(part[at].astype(np.float16))],
+                    ["cell", "grp", "id", "vec"],
                 )
 
     return run
@@ -60,31 +60,75 @@ def _lowest(threshold: float, salt: int, chunk: int = 512):
         signed = (rank[low[some]] ^ np.uint64(1 << 63)).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[low[some]]), pa.array(signed)], ["id", "low", "rank"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
-        for batch in batches:
-            cells = batch.column("cell").to_numpy()
-            for a, z in V._runs(cells):
-                if cells[a] != cell:
-                    if held:
-                        yield solve(np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held]))
-                    cell, held = cells[a], []
-                ids = batch.column("id").slice(a, z - a).to_numpy()
-                held.append((ids, V.as_matrix(batch.column("vec").slice(a, z - a))))
-        if held:
-            yield solve(np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held]))
+    return lambda batches: (solve(ids, x) for _, ids, x in _whole_cells(batches))
 
-    return run
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(group, ids, matrix) of each cell of a partition sorted by cell; a cell holds one block at most."""
+    cell, held, grp = None, [], ""
+    for batch in batches:
+        cells = batch.column("cell").to_numpy()
+        for a, z in V._runs(cells):
+            if cells[a] != cell:
+                if held:
+                    yield grp, np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held])
+                cell, held, grp = cells[a], [], batch.column("grp")[a].as_py()
+            ids = batch.column("id").slice(a, z - a).to_numpy()
+            held.append((ids, V.as_matrix(batch.column("vec").slice(a, z - a))))
+    if held:
+        yield grp, np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held])
+
+
+def _settled(threshold: float, salt: int, chunk: int = 256):
+    """(id, grp, pivot, vec) of the rows of each cell, settled among themselves: vec only of pivots, whose pivot is null."""
+
+    def solve(grp: str, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((ids, V.mixed(ids, salt)))
+        ids, x = ids[order], x[order]
+        pivot = np.full(len(ids), -1)
+        heads = np.empty(0, np.int64)
+        for a in range(0, len(ids), chunk):
+            part = x[a : a + chunk]
+            if len(heads):
+                near = part @ x[heads].T >= threshold
+                hit = near.any(1)
+                pivot[a : a + len(part)][hit] = heads[near.argmax(1)[hit]]
+            left = a + np.flatnonzero(pivot[a : a + len(part)] < 0)
+            near = x[left] @ x[left].T >= threshold
+            new = []
+            for k in range(len(left)):
+                if pivot[left[k]] < 0:
+                    new.append(left[k])
+                    take = left[k + 1 :][near[k, k + 1 :]]
+                    pivot[take[pivot[take] < 0]] = left[k]
+            heads = np.concatenate([heads, np.array(new, np.int64)])
+        away = np.flatnonzero(pivot >= 0)
+        rows = pa.array(np.concatenate([ids[heads], ids[away]]))
+        none = pa.nulls(len(away), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [
+                rows, pa.array([grp] * len(rows), pa.string()),
+                pa.concat_arrays([pa.nulls(len(heads), pa.int64()), pa.array(ids[pivot[away]])]),
+                pa.concat_arrays([V.as_binary(x[heads].astype(np.float16)), none]),
+            ],
+            ["id", "grp", "pivot", "vec"],
+        )
+
+    return lambda batches: (solve(*cell) for cell in _whole_cells(batches))
 
 
 def assign(rows: DataFrame, *, threshold: float, probes: int, sample: int, block: int, seed: int = 5) -> DataFrame:
     """(id, pivot) of every row of (id, grp, vec) that another row's pivot absorbed; staged."""
-    open_rows, rounds = rows, []
+    cells = "cell long, grp string, id long, vec binary"
+    index = V.fit_index(rows, sample=sample, block=block, seed=seed)
+    placed = rows.mapInArrow(_cells(index, 1, seed), cells).repartition("cell").sortWithinPartitions("cell")
+    first = stage(placed.mapInArrow(_settled(threshold, seed), "id long, grp string, pivot long, vec binary"), "settled")
+    rounds = [first.filter("pivot is not null").select("id", "pivot")]
+    open_rows = first.filter("pivot is null").select("id", "grp", "vec")
     while True:
         salt = seed + len(rounds)
         index = V.fit_index(open_rows, sample=sample, block=block, probes=probes, seed=salt)
-        placed = open_rows.select("id", "grp", "vec").mapInArrow(_cells(index, probes, salt), "cell long, role int, id long, vec binary")
-        placed = placed.repartition("cell").sortWithinPartitions("cell")
+        placed = open_rows.mapInArrow(_cells(index, probes, salt), cells).repartition("cell").sortWithinPartitions("cell")
         seen = placed.mapInArrow(_lowest(threshold, seed), "id long, low long, rank long")
         lower = stage(seen.groupBy("id").agg(F.min(F.struct("rank", "low")).alias("m")).select("id", F.col("m.low").alias("low")), "lowest")
         # absorbed: the lowest has no lower one itself
@@ -114,7 +158,7 @@ def clusters(
     *,
     threshold: float = 0.8,
     min_size: int = 3,
-    probes: int = 2,
+    probes: int = 4,
     sample: int = 16384,
     block: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
@@ -129,12 +173,11 @@ def clusters(
     heads = joined.select(F.col("pivot").alias("id")).distinct()
     pivots = stage(rows.join(heads, "id", "left_semi"), "heads")
     index = V.fit_index(pivots, sample=sample, block=block)
-    members = joined.select("id").unionByName(heads)
-    asking = rows.join(members, "id", "left_semi")
-    close = search(pivots, asking, index, k=1, probes=4 * probes, min_cosine=threshold)
-    own = pivots.select("id", F.col("id").alias("pivot"))
-    others = close.join(heads.withColumnRenamed("id", "a"), "a", "left_anti").select(F.col("a").alias("id"), F.col("b").alias("pivot"))
-    labels = stage(own.unionByName(others), "labels")
+    close = search(pivots, rows, index, k=1, probes=2, min_cosine=threshold)
+    moved = joined.join(close.select(F.col("a").alias("id"), F.col("b").alias("near")), "id", "left")
+    # a pivot stays with its own cluster; a member whose closest pivot the lists did not show stays where it was
+    labels = moved.select("id", F.coalesce("near", "pivot").alias("pivot")).unionByName(pivots.select("id", F.col("id").alias("pivot")))
+    labels = stage(labels, "labels")
     size = labels.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster_id")).filter(F.col("size") >= min_size)
     return rows, labels.join(size, "pivot")
 
@@ -150,7 +193,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = V.as_matrix(batch.column("vec").take(pa.array(mine)))
             name, start = np.unique(label[mine], return_index=True)
             total = np.add.reduceat(x, start, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(name), V.as_binary(total)], ["cluster_id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), V.as_binary(total.astype(np.float32))], ["cluster_id", "vec"])
 
 
 def _typical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +203,7 @@ def _typical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.frombuffer(batch.column("vec").buffers()[1], np.int32, len(ids) + 1, batch.column("vec").offset * 4))
         for width in np.unique(size):
             mine = pa.array(np.flatnonzero(size == width))
-            x, m = V.as_matrix(batch.column("vec").take(mine)), V.as_matrix(batch.column("mean").take(mine))
+            x, m = V.as_matrix(batch.column("vec").take(mine)), V.as_matrix(batch.column("mean").take(mine), np.float32)
             cosine = np.einsum("ij,ij->i", x, m) / np.maximum(np.linalg.norm(m, axis=1), 1e-9)
             yield pa.RecordBatch.from_arrays([ids.take(mine), label.take(mine), pa.array(cosine.astype(np.float64))], ["id", "cluster_id", "cosine"])
 
@@ -183,7 +226,7 @@ def _folded(sums: DataFrame, salted: bool) -> DataFrame:
     """Add up the partial sums of each cluster, first in salted groups, then over all."""
 
     def add(key, table):  # no annotations: Spark reads them
-        total = V.as_matrix(table.column("vec").combine_chunks()).sum(0, keepdims=True)
+        total = V.as_matrix(table.column("vec").combine_chunks(), np.float32).sum(0, keepdims=True)
         return pa.table({"cluster_id": pa.array([key[0].as_py()], pa.int64()), "vec": V.as_binary(total)})
 
     salt = (F.spark_partition_id() % 16 if salted else F.lit(0)).alias("salt")

@@ -42,9 +42,9 @@ def _scanner(k: int, min_cosine: float | None, eps: float, chunk: int = 512):
 
     def step(ids: np.ndarray, column: pa.Array, kept: list) -> Iterator[pa.RecordBatch]:
         base_ids = np.concatenate([i for i, _ in kept])
-        base = np.concatenate([x if isinstance(x, np.ndarray) else V.as_matrix(x, np.float16) for _, x in kept])
+        base = np.concatenate([x if isinstance(x, np.ndarray) else V.as_matrix(x) for _, x in kept])
         kept[:] = [(base_ids, base)]
-        queries = V.as_matrix(column, np.float16)
+        queries = V.as_matrix(column)
         for a in range(0, len(ids), chunk):
             q = queries[a : a + chunk]
             own = ids[a : a + chunk]
@@ -79,9 +79,7 @@ def search(
 ) -> DataFrame:
     """(a, b, cosine): of each query a the k rows b of highest cosine in its ``probes`` closest lists.
 
-    Both inputs are (id, grp, vec) as :func:`vectors.prepared` gives them. The scan
-    runs on half precision copies, which moves a cosine by less than 0.001.
-    Ties go to the smaller id; a row is not its own neighbour.
+    Both inputs are (id, grp, vec) as :func:`vectors.prepared` gives them. Ties go to the smaller id; a row is not its own neighbour.
     """
     schema = "cell long, role int, id long, vec binary"
     held = base.select("id", "grp", "vec").mapInArrow(_placer(index, 1, 0, salt), schema)
