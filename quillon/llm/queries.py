@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import clusters, distinctive, mixing, near_duplicates, neighbours, sentences, tokens
+from quillon.llm import clusters, distinctive, languages, mixing, near_duplicates, neighbours, sentences, tokens
 from quillon.runtime import table
 
 SONG_TEXT = ("track_name", "lyrics")
@@ -47,6 +47,18 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "neighbour", "rank", F.round("cosine", 3).alias("cosine"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    songs = table(spark, sf_dir, "spotify_songs")
+    model = languages.fit(songs, "row_id", "lyrics", "lyrics_lang")
+    return languages.doubtful(languages.languages(songs, "row_id", "lyrics", "lyrics_lang", model), "row_id", min_lines=8)
+
+
+def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    songs = table(spark, sf_dir, "spotify_songs")
+    model = languages.fit(songs, "row_id", "lyrics", "lyrics_lang")
+    return languages.stretches(songs, "row_id", "lyrics", model)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = table(spark, sf_dir, "media_features")
     _, members = clusters.clusters(media, "vec_id", "medium", "feature", LENGTHS, threshold=0.8, min_size=3)
