@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,11 @@ class Model:
     triples: dict[str, np.ndarray] = field(default_factory=dict)
     seen: dict[str, np.ndarray] = field(default_factory=dict)
 
+    @cached_property
+    def votes(self) -> np.ndarray:
+        """Whether each known word is evidence: single accented letters are not, they abound in garbled text."""
+        return np.array([len(w) > 1 or w.isascii() for w in self.words], bool)
+
     def unknown(self, word: str) -> np.ndarray:
         """Scores of a word the model has not seen."""
         got = self.seen.get(word)
@@ -60,7 +66,7 @@ class Model:
             got = np.zeros(len(LANGUAGES), np.float32)
             only = narrowed(word)
             if only is not None:
-                if only >= 0:
+                if only >= 0:  # a script none of the languages has says nothing
                     got[:] = FLOOR
                     got[only] = 0
             else:
@@ -77,11 +83,13 @@ class Model:
 
 
 def _relative(counts: np.ndarray, smooth: float) -> np.ndarray:
-    rate = np.log((counts + smooth) / (counts.sum(0, keepdims=True) + smooth * len(counts)))
+    """Log rates of the rows against the best column; a row never seen in some columns is equally rare in all of them."""
+    total = counts.sum(0, keepdims=True) + 1.0
+    rate = np.log(counts / total + smooth / total.sum())
     return np.maximum(rate - rate.max(1, keepdims=True), FLOOR).astype(np.float32)
 
 
-def _model(rows: Sequence, smooth: float = 0.5) -> Model:
+def _model(rows: Sequence, smooth: float = 2.0) -> Model:
     """From (word, language, n)."""
     names = {x: k for k, x in enumerate(LANGUAGES)}
     words: dict[str, int] = {}
@@ -93,6 +101,8 @@ def _model(rows: Sequence, smooth: float = 0.5) -> Model:
         if r["word"] in words and r["lang"] in names:
             counts[words[r["word"]], names[r["lang"]]] += r["n"]
     scores = _relative(counts, smooth)[:-1]
+    latin = list(LATIN)
+    scores[:, latin] -= scores[:, latin].max(1, keepdims=True)
     scores[:, [k for k in range(len(LANGUAGES)) if k not in LATIN]] = FLOOR
     triples: dict[str, np.ndarray] = {}
     for word, k in words.items():
@@ -155,6 +165,7 @@ def label_lines(texts: Sequence[str | None], model: Model, switch: float, line_s
     """Label the lines of texts. Only lines with evidence for a language have one; ``filled`` marks those not blank."""
     ids: list[int] = []
     extra: list[np.ndarray] = []
+    sure: list[bool] = []  # of the words not in the model: told by their script
     length, filled = [], []
     get, base = model.words.get, len(model.words)
     for text in texts:
@@ -170,6 +181,7 @@ def label_lines(texts: Sequence[str | None], model: Model, switch: float, line_s
                 else:
                     k = base + len(extra)
                     extra.append(model.unknown(token))
+                    sure.append(narrowed(token) is not None)
             ids.append(k)
     token = np.array(ids, np.int64)
     size = np.array(length, np.int64)
@@ -190,10 +202,11 @@ def label_lines(texts: Sequence[str | None], model: Model, switch: float, line_s
     best = _viterbi(scores, at, size, first, switch, line_switch)
     lines, k = int(first_line[-1]), len(LANGUAGES)
     votes = np.zeros((lines, k))
-    # a word votes for its stretch's language as far as it speaks for any language at all
+    # a known word votes for its stretch's language as far as it speaks for any language at all
     weight = np.minimum(-scores[:, list(LATIN)].min(1), 3.0) if len(scores) else np.zeros(0)
     weight = np.where((scores == FLOOR).sum(1) == k - 1, 3.0, weight)
-    np.add.at(votes, (line, best), weight)
+    known = np.concatenate([model.votes, np.array(sure, bool), [False]])
+    np.add.at(votes, (line, best), np.where(known[token[words]], weight, 0.0))
     sums = np.stack([np.bincount(line, scores[:, j], lines) for j in range(k)], axis=1)
     language = np.where(votes.max(1) >= 1.0, votes.argmax(1), -1)
     own = sums[np.arange(lines), np.maximum(language, 0)]
