@@ -45,7 +45,7 @@ REPLACEMENT = "�"
 #: Characters no correct text holds: the replacement sign and C1 controls but for next line.
 BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
 _HIGH = re.compile("[^\x00-\x7f]+")
-_WORD = re.compile(r"[^ \n\r\t]+")
+_BLANKS = str.maketrans("\n\r\t", "   ")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 EDGE = " "
 
@@ -74,6 +74,32 @@ def _table(shown: str, true: str) -> dict[int, str]:
 TABLES = {(shown, true): _table(shown, true) for shown, true in SOURCES if true not in MULTI}
 
 
+def _shapes() -> re.Pattern:
+    """Sequences shaped as UTF-8 in some page: hardly ever correct text. Russian letters do follow each other so."""
+    found = []
+    for name in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251"):
+        shown = {b: re.escape(c) for c, b in PAGES[name].items() if c not in "Ёё"}
+        part = lambda a, z, shown=shown: "[" + "".join(shown[b] for b in range(a, z) if b in shown) + "]"
+        more = part(0x80, 0xC0)
+        found += [part(0xE0, 0xF0) + more + more, part(0xC2, 0xE0) + more]
+    return re.compile("|".join(dict.fromkeys(found)))
+
+
+SHAPED = _shapes()
+
+
+def words_beyond_ascii(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the words between ASCII blanks that hold a character beyond ASCII."""
+    flat, end = text.translate(_BLANKS), -1
+    for m in _HIGH.finditer(flat):
+        if m.start() < end:
+            continue
+        start = flat.rfind(" ", 0, m.start()) + 1
+        end = flat.find(" ", m.end())
+        end = len(flat) if end < 0 else end
+        yield start, end
+
+
 def kind(c: str) -> str:
     """The class of a character: the letters of large scripts stand together, other characters are kept."""
     o = ord(c)
@@ -99,6 +125,20 @@ def group(c: str) -> str:
     return (name if name[0] == "L" else name[0]) + script
 
 
+def unlikely(a: str, b: str) -> bool:
+    """Whether b after a mixes scripts or letters and signs within a word, or is an accented capital after a small letter."""
+    latin_a, latin_b = a.isalpha() and a < "ɐ", b.isalpha() and b < "ɐ"
+    if latin_a and b > "\x7f":
+        return (not latin_b and unicodedata.category(b)[0] != "P") or (a.islower() and b.isupper())
+    return latin_b and a > "\x7f" and not latin_a
+
+
+#: Pairs no more frequent than this after their first character are taken for noise where they are unlikely.
+NOISE = 3e-7
+#: Pages of the same letters: words in capitals look alike in them, so more is asked of each word.
+CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
+
+
 @dataclass
 class Bigrams:
     """Smoothed log probabilities of a character after another, from corpus counts."""
@@ -125,9 +165,13 @@ class Bigrams:
     def _one(self, a: str, c: str) -> float:
         b = kind(c)
         g = group(a)
+        pair, by_group = self.pairs[a, b], self.groups[g, b]
+        if unlikely(a, b):  # so few as this may all come from text yet to be found
+            pair = max(0.0, pair - 3 - NOISE * self.left[a])
+            by_group = max(0.0, by_group - 3 - NOISE * self.group_left[g])
         base = (self.right[b] + 0.2) / (self.all + 2000)
-        by_group = (self.groups[g, b] + 50 * base) / (self.group_left[g] + 50)
-        p = (self.pairs[a, b] + self.weight * by_group) / (self.left[a] + self.weight)
+        back = (by_group + 50 * base) / (self.group_left[g] + 50)
+        p = (pair + self.weight * back) / (self.left[a] + self.weight)
         if b != c:
             p *= (self.singles[c] + 0.05) / (self.of_kind[b] + 200)
         return math.log(max(p, 1e-12))
@@ -219,7 +263,7 @@ class Cipher:
             got = (0.0, None, word)
             if self.bigrams.rarest(word) < -6.5:
                 base = self.bigrams.score(word)
-                best = 0.0
+                best = -math.inf
                 for source in SOURCES:
                     text = decipher(word, *source)
                     if text is None or text == word:
@@ -230,8 +274,8 @@ class Cipher:
                             break
                         text = again
                     odds = self.bigrams.score(text) - base
-                    if odds + self.priors[source] > best + (self.priors[got[1]] if got[1] else 0.0) and odds > 0:
-                        got, best = (odds, source, text), odds
+                    if odds > 0 and odds + self.priors[source] > best:
+                        got, best = (odds, source, text), odds + self.priors[source]
             if len(self.seen) > 300_000:
                 self.seen.clear()
             self.seen[word] = got
@@ -240,20 +284,23 @@ class Cipher:
     def examine(self, text: str, near: float = 2.0) -> list[tuple[int, int, tuple[str, str] | None, str]]:
         """(start, end, source, reading) of the ciphered words of a text; without a source where nothing can be told.
 
-        The first word of a source must outweigh the source's prior; then others of the
-        same source in the text need only be better than as they stand.
+        A source must outweigh its prior with the different words it explains better by more
+        than ``near``; each of these is then taken to be ciphered.
         """
         found, open_ = [], []
-        for m in _WORD.finditer(text):
-            word = m[0]
-            if word.isascii():
-                continue
+        for a, b in words_beyond_ascii(text):
+            word = text[a:b]
             odds, source, reading = self.read(word)
+            if source is not None and source[0] in CYRILLIC and source[1] in CYRILLIC and odds < 4 * near:
+                source = None
             if source is not None:
-                open_.append((m.start(), m.end(), source, reading, odds))
+                open_.append((a, b, source, reading, odds))
             elif BROKEN.search(word):
-                found.append((m.start(), m.end(), None, word))
-        sure = {s for _, _, s, _, odds in open_ if odds + self.priors[s] > 0}
+                found.append((a, b, None, word))
+        weight: dict[tuple[str, str], float] = {}
+        for word, source, odds in {(text[a:b], s, odds) for a, b, s, _, odds in open_ if odds > near}:
+            weight[source] = weight.get(source, near) + odds - near
+        sure = {s for s, odds in weight.items() if odds + self.priors[s] > 0}
         for a, b, source, reading, odds in open_:
             if source in sure and odds > near:
                 found.append((a, b, source, reading))
@@ -290,7 +337,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for k in range(0, len(texts), 512):
-            points = np.frombuffer(("\n" + "\n".join(texts[k : k + 512]) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+            # sequences shaped as UTF-8 are left to the first round, which adds those that stand
+            part = [t if t.isascii() else SHAPED.sub("\n", t) for t in texts[k : k + 512]]
+            points = np.frombuffer(("\n" + "\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
             classes = _kinds()[points]
             code, n = np.unique(classes[:-1].astype(np.uint64) << np.uint64(32) | classes[1:], return_counts=True)
             pairs.update(dict(zip(code.tolist(), n.tolist(), strict=True)))
@@ -325,10 +374,9 @@ def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int =
     pairs, singles = _model(got.groupBy("a", "b").agg(F.sum("n").alias("n")).collect())
     cipher = Cipher(Bigrams(pairs, singles), dict.fromkeys(SOURCES, math.log(rare)))
     values = _stacked(df, id_col, text_cols, True).select("text")
-    for _ in range(rounds):
-        rows = values.mapInArrow(_expected(cipher), "what string, a string, b string, n long")
+    for k in range(rounds):
+        rows = values.mapInArrow(_expected(cipher, k == 0), "what string, a string, b string, n long")
         moved = rows.groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-        total = max(1, sum(n for n in cipher.bigrams.left.values()))
         words: Counter = Counter()
         for r in moved:
             if r["what"] == "pair":
@@ -339,12 +387,11 @@ def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int =
                 words[r["a"], r["b"]] += r["n"]
         n_values = max(1, sum(r["n"] for r in moved if r["what"] == "values"))
         priors = {s: math.log(min(max((words[s] + 0.5) / n_values, rare / 10), 0.05)) for s in SOURCES}
-        assert total
         cipher = Cipher(Bigrams(pairs, singles), priors)
     return cipher
 
 
-def _expected(cipher: Cipher):
+def _expected(cipher: Cipher, first: bool):
     """Counts a round moves: pairs of the ciphered words away, those of their readings in, values of each source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,14 +402,20 @@ def _expected(cipher: Cipher):
                 found = cipher.examine(text)
                 for source in {f[2] for f in found} - {None}:
                     moved["source", *source] += 1
-                for a, b, source, reading in found:
-                    for word, n in ((text[a:b], -1), (reading, 1)) if source else ((text[a:b], -1),):
-                        left = EDGE
-                        for c in [*word, EDGE]:
-                            moved["pair", left, kind(c)] += n
-                            if c != EDGE:
-                                moved["single", c, ""] += n
-                            left = kind(c)
+                ciphered = {(a, b) for a, b, _, _ in found}
+                changes = [(text[a:b], -1, source) for a, b, source, _ in found]
+                changes += [(reading, 1, source) for _, _, source, reading in found if source]
+                if first:
+                    changes += [(text[a:b], 1, None) for a, b in words_beyond_ascii(text) if (a, b) not in ciphered and SHAPED.search(text, a, b)]
+                for word, n, source in changes:
+                    if n < 0 and first and SHAPED.search(word):
+                        continue  # was not counted
+                    left = EDGE
+                    for c in [*word, EDGE]:
+                        moved["pair", left, kind(c)] += n
+                        if c != EDGE:
+                            moved["single", c, ""] += n
+                        left = kind(c)
         keys = list(moved)
         yield pa.RecordBatch.from_arrays(
             [*(pa.array([k[j] for k in keys], pa.string()) for j in range(3)), pa.array([moved[k] for k in keys], pa.int64())], ["what", "a", "b", "n"]

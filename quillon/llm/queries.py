@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import clusters, distinctive, languages, mixing, near_duplicates, neighbours, sentences, tokens
+from quillon.llm import clusters, distinctive, encodings, languages, mixing, near_duplicates, neighbours, sentences, tokens
 from quillon.runtime import table
 
 SONG_TEXT = ("track_name", "lyrics")
@@ -17,6 +17,14 @@ LENGTHS = {"image": 128, "audio": 56}
 NEAR = {"similarity": (7, 10), "min_words": 30}
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_restored(spark, sf_dir).select("row_id", "field_name")
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.garbled(table(spark, sf_dir, "spotify_songs"), "row_id", ("lyrics", "track_artist"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     songs = table(spark, sf_dir, "spotify_songs")
     scored = distinctive.score_terms(songs, "row_id", SONG_TEXT, min_count=3, min_df=2, max_df=6, min_z=0.0)
