@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -45,7 +46,6 @@ REPLACEMENT = "�"
 #: Characters no correct text holds: the replacement sign and C1 controls but for next line.
 BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
 _HIGH = re.compile("[^\x00-\x7f]+")
-_BLANKS = str.maketrans("\n\r\t", "   ")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 EDGE = " "
 
@@ -71,26 +71,31 @@ def _table(shown: str, true: str) -> dict[int, str]:
     return {ord(c): back[b] for c, b in PAGES[shown].items() if b > 127 and back[b] != c}
 
 
+PAGE_SETS = {name: frozenset(page) for name, page in PAGES.items()}
 TABLES = {(shown, true): _table(shown, true) for shown, true in SOURCES if true not in MULTI}
 
 
-def _shapes() -> re.Pattern:
-    """Sequences shaped as UTF-8 in some page: hardly ever correct text. Russian letters do follow each other so."""
-    found = []
+def _shapes() -> tuple[re.Pattern, re.Pattern]:
+    """Sequences shaped as UTF-8 in some page, hardly ever correct text, and a quick test for them.
+
+    Russian letters do follow each other so, and are left out.
+    """
+    found, leads, rests = [], "", ""
     for name in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251"):
         shown = {b: re.escape(c) for c, b in PAGES[name].items() if c not in "Ёё"}
-        part = lambda a, z, shown=shown: "[" + "".join(shown[b] for b in range(a, z) if b in shown) + "]"
-        more = part(0x80, 0xC0)
-        found += [part(0xE0, 0xF0) + more + more, part(0xC2, 0xE0) + more]
-    return re.compile("|".join(dict.fromkeys(found)))
+        part = lambda a, z, shown=shown: "".join(shown[b] for b in range(a, z) if b in shown)
+        more = f"[{part(0x80, 0xC0)}]"
+        found += [f"[{part(0xE0, 0xF0)}]{more}{more}", f"[{part(0xC2, 0xE0)}]{more}"]
+        leads, rests = leads + part(0xC2, 0xF0), rests + part(0x80, 0xC0)
+    return re.compile("|".join(dict.fromkeys(found))), re.compile(f"[{leads}][{rests}]")
 
 
-SHAPED = _shapes()
+SHAPED, _MAYBE_SHAPED = _shapes()
 
 
 def words_beyond_ascii(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the words between ASCII blanks that hold a character beyond ASCII."""
-    flat, end = text.translate(_BLANKS), -1
+    flat, end = text.replace("\n", " ").replace("\r", " ").replace("\t", " "), -1
     for m in _HIGH.finditer(flat):
         if m.start() < end:
             continue
@@ -229,23 +234,24 @@ def _utf8(word: str, shown: str) -> str | None:
 
 def decipher(word: str, shown: str, true: str) -> str | None:
     """The word as the source reads it, None if it cannot."""
+    if true != "utf-8" and not PAGE_SETS[shown].issuperset(word):
+        return None
     if true == "utf-8":
         return _utf8(word, shown)
     page = PAGES[shown]
     if true in MULTI:
-        try:
-            raw = bytes(page[c] for c in word)
-        except KeyError:
-            return None
+        raw = bytes([page[c] for c in word])
         try:
             return raw.decode(true)
         except UnicodeDecodeError as e:  # the end may be cut off
             if e.start < len(raw) - 2 or e.start < 4:
                 return None
             return raw[: e.start].decode(true) + word[e.start :]
-    if any(c > "\x7f" and c not in page for c in word):
-        return None
-    return word.translate(TABLES[shown, true])
+    get = TABLES[shown, true].get
+    return "".join([get(o, c) if (o := ord(c)) > 127 else c for c in word])
+
+
+_SEEN: dict[str, dict[str, tuple]] = {}
 
 
 @dataclass
@@ -254,17 +260,29 @@ class Cipher:
 
     bigrams: Bigrams
     priors: dict[tuple[str, str], float]
-    seen: dict[str, tuple] = field(default_factory=dict)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    @property
+    def seen(self) -> dict[str, tuple]:
+        """Words read so far in this process; the tasks of a worker share them."""
+        if self.name not in _SEEN:
+            _SEEN.clear()
+            _SEEN[self.name] = {}
+        return _SEEN[self.name]
 
     def read(self, word: str) -> tuple[float, tuple[str, str] | None, str]:
         """(log odds before the prior, source, reading) of the likeliest source; odds of 0 if the word is better as it is."""
-        got = self.seen.get(word)
+        seen = self.seen
+        got = seen.get(word)
         if got is None:
             got = (0.0, None, word)
             if self.bigrams.rarest(word) < -6.5:
                 base = self.bigrams.score(word)
                 best = -math.inf
+                shaped = SHAPED.search(word) or word[0] > "\u03ff" or not PAGE_SETS["latin-1"].issuperset(word)
                 for source in SOURCES:
+                    if source[1] == "utf-8" and not shaped:
+                        continue
                     text = decipher(word, *source)
                     if text is None or text == word:
                         continue
@@ -276,9 +294,9 @@ class Cipher:
                     odds = self.bigrams.score(text) - base
                     if odds > 0 and odds + self.priors[source] > best:
                         got, best = (odds, source, text), odds + self.priors[source]
-            if len(self.seen) > 300_000:
-                self.seen.clear()
-            self.seen[word] = got
+            if len(seen) > 300_000:
+                seen.clear()
+            seen[word] = got
         return got
 
     def examine(self, text: str, near: float = 2.0) -> list[tuple[int, int, tuple[str, str] | None, str]]:
@@ -338,10 +356,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         for k in range(0, len(texts), 512):
             # sequences shaped as UTF-8 are left to the first round, which adds those that stand
-            part = [t if t.isascii() else SHAPED.sub("\n", t) for t in texts[k : k + 512]]
+            part = [SHAPED.sub("\n", t) if not t.isascii() and _MAYBE_SHAPED.search(t) else t for t in texts[k : k + 512]]
             points = np.frombuffer(("\n" + "\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
             classes = _kinds()[points]
-            code, n = np.unique(classes[:-1].astype(np.uint64) << np.uint64(32) | classes[1:], return_counts=True)
+            a, b = classes[:-1], classes[1:]
+            plain = (a | b) < 128
+            n = np.bincount(a[plain] << 7 | b[plain])
+            pairs.update({(k >> 7) << 32 | k & 127: int(n[k]) for k in np.flatnonzero(n).tolist()})
+            code, n = np.unique(a[~plain].astype(np.uint64) << np.uint64(32) | b[~plain], return_counts=True)
             pairs.update(dict(zip(code.tolist(), n.tolist(), strict=True)))
             code, n = np.unique(points[points != classes], return_counts=True)
             pairs.update({c - (1 << 40): m for c, m in zip(code.tolist(), n.tolist(), strict=True)})
@@ -405,7 +427,7 @@ def _expected(cipher: Cipher, first: bool):
                 ciphered = {(a, b) for a, b, _, _ in found}
                 changes = [(text[a:b], -1, source) for a, b, source, _ in found]
                 changes += [(reading, 1, source) for _, _, source, reading in found if source]
-                if first:
+                if first and _MAYBE_SHAPED.search(text):
                     changes += [(text[a:b], 1, None) for a, b in words_beyond_ascii(text) if (a, b) not in ciphered and SHAPED.search(text, a, b)]
                 for word, n, source in changes:
                     if n < 0 and first and SHAPED.search(word):
