@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dot(x: Column, y: Column) -> Column:
     """Inner product of two arrays of equal length, in double."""
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -38,14 +45,13 @@ def norm(x: Column) -> Column:
 
 def cosine_sim(x: Column, y: Column) -> Column:
     """Cosine of two arrays; 0 where either has no length."""
-    size = norm(x) * norm(y)
-    return F.when(size > 0, dot(x, y) / size).otherwise(F.lit(0.0))
+    return let(norm(x) * norm(y), lambda size: F.when(size > 0, dot(x, y) / size).otherwise(F.lit(0.0)))
 
 
 def l1_normalised(x: Column) -> Column:
     """The array divided by its sum; unchanged where that is 0."""
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    return F.when(total > 0, F.transform(x, lambda v: v / total)).otherwise(x)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
+    return let(x, lambda v: let(total(v), lambda t: F.when(t > 0, F.transform(v, lambda e: e / t)).otherwise(v)))
 
 
 def basename(path: Column) -> Column:

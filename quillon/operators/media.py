@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import basename
+from quillon.functions import basename, l1_normalised, let
 from quillon.runtime import stage
 
 #: Path columns by preference.
@@ -59,10 +59,7 @@ def scaled(vector: Column, means: Sequence[float], deviations: Sequence[float])
 
 def direct_histogram(vector: Column) -> Column:
     """A scaled vector shifted to a least value of 0 and a sum of 1."""
-    low = F.array_min(vector)
-    up = F.transform(vector, lambda x: x - low)
-    total = F.aggregate(up, F.lit(0.0), lambda s, x: s + x)
-    return F.when(total > 0, F.transform(up, lambda x: x / total)).otherwise(up)
+    return l1_normalised(let(vector, lambda v: let(F.array_min(v), lambda low: F.transform(v, lambda x: x - low))))
 
 
 def histograms(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -114,10 +111,9 @@ def media_idf(hist: DataFrame, n_docs: int) -> DataFrame:
 
 def _weighted(histogram: Column, idf: Sequence[float]) -> Column:
     """Histogram times idf at length 1; unchanged where the lengths differ."""
-    w = F.zip_with(histogram, _array(idf), lambda x, i: x * i)
-    size = F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.when(size > 0, F.transform(w, lambda x: x / size)).otherwise(w)
-    return F.when(F.size(histogram) == len(idf), unit).otherwise(histogram)
+    size = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda w: let(size(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w))
+    return F.when(F.size(histogram) == len(idf), let(F.zip_with(histogram, _array(idf), lambda x, i: x * i), unit)).otherwise(histogram)
 
 
 @dataclass

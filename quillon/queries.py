@@ -551,9 +551,10 @@ def p7_found(spark, d):
     return strict_load.failures(*_styles(spark, d)).select("line_no", "reason")
 
 
-@query(_P7_SQL + """SELECT line_no, v[1]::INT AS id, v[2] AS gender, v[3] AS "masterCategory", v[4] AS "subCategory", v[5] AS "articleType", v[6] AS "baseColour", v[7] AS season, nullif(v[8], '')::INT AS year, v[9] AS usage, v[10] AS "productDisplayName" FROM j WHERE ok AND shaped AND valid""")
+@query(_P7_SQL + """SELECT line_no, v[1]::INT AS id, v[2] AS gender, v[3] AS "masterCategory", v[4] AS "subCategory", v[5] AS "articleType", v[6] AS "baseColour", v[7] AS season, v[8] AS year, v[9] AS usage, v[10] AS "productDisplayName" FROM j WHERE ok AND shaped AND valid""")
 def p7_loaded(spark, d):
-    return strict_load.strict_load(*_styles(spark, d)).drop("_mark")
+    rows = strict_load.strict_load(*_styles(spark, d)).drop("_mark")
+    return rows.withColumn("year", F.coalesce(F.col("year").cast("string"), F.lit("")))  # null shows as it came
 
 
 @query(f"SELECT reason, count(*) AS n FROM ({_SQL['p7_found']}) GROUP BY reason")
