@@ -9,6 +9,7 @@ match decides. Thai has no mark: there a blank between two letters is the break.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 TITLES = """
 Mr Mrs Ms Mx Messrs Dr Drs Prof St Ste Mt Rev Hon Gen Col Capt Lt Sgt Sen Rep Gov Pres
 Sr Sra Srta Srs Dra D Dª Ud Uds Lic Ing
-M MM Mme Mmes Mlle Me Pr
+M MM Mme Mmes Mlle Pr
 Hr Fr Frl Hrn Dipl Ing Abg
 Sig sig.ra sig.na Sig.ra Sig.na sig dott Dott dott.ssa Dott.ssa avv Avv ing prof
 гр г-н им ул пр акад проф тов св о
@@ -60,6 +61,7 @@ LINE_BREAK = regex.compile("\r\n|[\n\r\v\f\x85\u2028\u2029]")
 CANDIDATE = regex.compile(rf"[{regex.escape(MARKS)}…]+(?:[\u00a0\u202f ]?[»›]|[{CLOSERS}]|“(?=[\s,;:.]|\Z))*")
 THAI_BLANK = regex.compile(r"(?<=\p{Thai})[^\S\n]+(?=\p{Thai})")
 LIST_MARK = regex.compile(r"\s*(?:\(?\d{1,4}[.)]|\p{L}[.)]|[-–—•*·▪◦])(?=\s)")
+_OPENING = regex.compile(r"[\"“«‹「『„(（\[【《〈{]")
 BLANKS = " \t\x1c\x1d\x1e\x1f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u202f\u205f\u3000\ufeff"
 
 
@@ -77,9 +79,13 @@ def _rule(breaks: bool, before: str, after: str) -> Rule:
 
 
 def _words(words: list[str]) -> str:
+    """Any of the abbreviations with its dot, also with a capital, as at the start of a sentence."""
+    words = [*words, *(w[:1].upper() + w[1:] for w in words)]
     return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(regex.escape(w) for w in sorted(set(words), key=len, reverse=True))})\."
 
 
+#: The same in two parts with a blank between.
+_SPACED = "|".join(w.replace(".", r"\.[\s\u00a0\u202f]?") for w in INNER if "." in w)
 _OPEN = r"[\"'“«‹「『„(（\[【¿¡]"
 _ANY, _END = "", r"\s*\Z"
 _UPPER = rf"\s*{_OPEN}*\s?[\p{{Lu}}\p{{Lt}}]"
@@ -103,6 +109,7 @@ CASCADE: list[tuple[str, list[Rule]]] = [
             _rule(False, _words(COUNTS), r"\s*[\p{N}#№]"),
             _rule(False, _words(["cat", "Cat", "op"]), r"\s+(?:no|nr|n|cit)\b"),
             _rule(False, _words(INNER), r"\s*[^\s]"),
+            _rule(False, rf"(?<!\p{{L}})(?:{_SPACED})\.", r"\s*[^\s]"),
             _rule(False, _words(["EE", "ee"]), r"\s*(?:UU|uu)\b"),
             _rule(False, _words(LAST), r"\s*[\p{Ll},;:\-–—)]"),
             _rule(True, _words(LAST), _UPPER),
@@ -163,21 +170,28 @@ def _enclosed(line: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _line_breaks(line: str, ends_text: bool = False) -> Iterator[int]:
+def _line_breaks(line: str) -> Iterator[int]:
     """Offsets in a line after which a sentence ends, without the last."""
     mark = LIST_MARK.match(line)
     floor = mark.end() if mark else 0
-    inside = _enclosed(line) if regex.search(r"[\"“«‹「『„(（\[【《〈{]", line) else []
+    closed = {b: (a, c) for a, b, c in _enclosed(line)} if _OPENING.search(line) else {}
+    outer: list[tuple[int, int]] = []  # quotations and brackets that lie in no other
+    for a, b in sorted((a, b) for b, (a, _) in closed.items()):
+        if outer and a < outer[-1][1]:
+            outer[-1] = (outer[-1][0], max(b, outer[-1][1]))
+        else:
+            outer.append((a, b))
+    starts = [a for a, _ in outer]
     start = floor  # of the sentence that is going on
     found = []
     for m in CANDIDATE.finditer(line, floor):
-        at = m.end()
-        if at >= len(line) or not line[at:].strip(BLANKS):
+        mark_at, at = m.span()
+        if at >= len(line):
             break
-        mark_at = m.start()
-        if any(a < at - 1 < b or (a < mark_at < b and b >= at) for a, b, _ in inside):
+        k = bisect_left(starts, at - 1) - 1
+        if k >= 0 and (at - 1 < outer[k][1] or mark_at < outer[k][1] and outer[k][0] < mark_at and outer[k][1] >= at):
             continue
-        closing = [(a, c) for a, b, c in inside if mark_at < b < at]
+        closing = [closed[b] for b in range(mark_at + 1, at) if b in closed]
         if closing and all(c in _BRACKETS for _, c in closing) and line[start : closing[-1][0]].strip(BLANKS):
             continue  # in brackets within a sentence
         before, after = line[max(0, at - 48) : at], line[at : at + 48]
