@@ -1,17 +1,18 @@
 """Text decoded with the wrong character encoding: found, and restored where it can be.
 
 A wrong decoding is a substitution cipher: each byte (or group of bytes) of the true encoding
-shows as some other letter or sign. Every swap of code pages is one source of
-ciphered words, whose table starts from the two pages. Expectation-maximisation over
-the corpus then re-estimates together
+shows as some other letter or sign. Every known swap of code pages is one source of
+ciphered words, whose table the two pages give; one more source stands for swaps of
+unknown pages. Expectation-maximisation over the corpus estimates together
 
 * the bigram model of the languages, without the words held to be ciphered,
 * how often each source occurs, and
-* each source's table of symbols and letters, from the words it explains.
+* the table of the unknown source: which letter each sign that breaks words stands for,
+  told by the letters around it.
 
 A word is ciphered if the source's reading, weighed by how rare the source is, beats
 the text as it stands under the bigram model. Tables of one symbol a letter are applied
-with ``str.translate``, those of several by pattern.
+as translations, those of several by pattern.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ SWAPS: Mapping[str, Sequence[str]] = {
     "cp1250": ("utf-8", "cp1252"),
 }
 MULTI = ("utf-8", "cp932", "euc_jp")
-REPLACEMENT = "�"
+#: The source of swaps between pages that are not known.
+UNKNOWN = ("unknown", "learned")
 #: Characters no correct text holds: the replacement sign and C1 controls but for next line.
 BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
 _HIGH = re.compile("[^\x00-\x7f]+")
@@ -254,12 +256,58 @@ def decipher(word: str, shown: str, true: str) -> str | None:
 _SEEN: dict[str, dict[str, tuple]] = {}
 
 
+def learn_table(contexts: Mapping[tuple[str, str, str], int], bigrams: Bigrams, *, rounds: int = 30, least: int = 5, sure: float = 0.7, odds: float = 20.0) -> dict[int, str]:
+    """The letter each symbol stands for, by EM over (left, symbol, right) counts against the bigram model.
+
+    Neighbours may be symbols themselves and then count as what they are believed to be. A
+    symbol is kept if it occurs ``least`` times in three contexts, one letter has a
+    probability of ``sure``, and that letter beats the symbol itself by ``odds``.
+    """
+    total: Counter = Counter()
+    for (_, symbol, _), n in contexts.items():
+        total[symbol] += n
+    symbols = [x for x, n in total.items() if n >= least and len({c[::2] for c in contexts if c[1] == x}) >= 3]
+    # bytes up to 127 mean the same in almost all pages, so no symbol stands for a plain letter
+    letters = [c for c, n in bigrams.singles.most_common(400) if c.isalpha() and "\x7f" < c < "\u0250"]
+    if not symbols or not letters:
+        return {}
+    rows = [(a, x, b, n) for (a, x, b), n in contexts.items() if x in set(symbols)]
+    at = {x: k for k, x in enumerate(symbols)}
+    shown = np.full((len(symbols), len(letters)), 1 / len(symbols))  # how often a letter shows as each symbol
+    means = np.full((len(symbols), len(letters)), 1 / len(letters))  # how often a symbol means each letter
+    step = {(a, c): math.exp(bigrams._one(a, c)) for a in {r[0] for r in rows} - set(symbols) for c in letters}
+    step |= {(c, b): math.exp(bigrams._one(c, b)) for b in {r[2] for r in rows} - set(symbols) for c in letters}
+    between = np.array([[math.exp(bigrams._one(a, c)) for c in letters] for a in letters])
+    into = {a: np.array([step[a, c] for c in letters]) for a in {r[0] for r in rows} - set(symbols)}
+    out = {b: np.array([step[c, b] for c in letters]) for b in {r[2] for r in rows} - set(symbols)}
+    owner, n = np.array([at[r[1]] for r in rows]), np.array([r[3] for r in rows], float)
+    for _ in range(rounds):
+        left = np.array([into[r[0]] if r[0] in into else means[at[r[0]]] @ between for r in rows])
+        right = np.array([out[r[2]] if r[2] in out else between @ means[at[r[2]]] for r in rows])
+        posterior = shown[owner] * left * right
+        posterior *= (n / np.maximum(posterior.sum(1), 1e-300))[:, None]
+        counts = np.zeros_like(means)
+        np.add.at(counts, owner, posterior)
+        means = counts / np.maximum(counts.sum(1, keepdims=True), 1e-300)
+        shown = (counts + 0.01) / (counts + 0.01).sum(0, keepdims=True)
+    table = {}
+    for x, k in at.items():
+        c = letters[int(means[k].argmax())]
+        gain = sum(
+            m * (bigrams._one(a, c) + bigrams._one(c, b) - bigrams._one(a, x) - bigrams._one(x, b)) for a, y, b, m in rows if y == x and a not in at and b not in at
+        )
+        if means[k].max() >= sure and gain > odds:
+            table[ord(x)] = c
+    return table
+
+
 @dataclass
 class Cipher:
-    """What EM learned: the bigram model and the log prior of each source."""
+    """What EM learned: the bigram model, the log prior of each source, and the table of the unknown source."""
 
     bigrams: Bigrams
     priors: dict[tuple[str, str], float]
+    table: dict[int, str] = field(default_factory=dict)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
@@ -294,6 +342,11 @@ class Cipher:
                     odds = self.bigrams.score(text) - base
                     if odds > 0 and odds + self.priors[source] > best:
                         got, best = (odds, source, text), odds + self.priors[source]
+                if got[1] is None and self.table:
+                    text = word.translate(self.table)
+                    odds = self.bigrams.score(text) - base
+                    if text != word and odds > 0:
+                        got = (odds, UNKNOWN, text)
             if len(seen) > 300_000:
                 seen.clear()
             seen[word] = got
@@ -394,22 +447,28 @@ def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int =
     """EM over all values of ``text_cols``. The driver gets counts of pairs of characters, as many as alphabets have, and of symbols."""
     got = _stacked(df, id_col, text_cols, False).select("text").mapInArrow(_count, "a long, b long, n long")
     pairs, singles = _model(got.groupBy("a", "b").agg(F.sum("n").alias("n")).collect())
-    cipher = Cipher(Bigrams(pairs, singles), dict.fromkeys(SOURCES, math.log(rare)))
+    cipher = Cipher(Bigrams(pairs, singles), dict.fromkeys([*SOURCES, UNKNOWN], math.log(rare)))
     values = _stacked(df, id_col, text_cols, True).select("text")
     for k in range(rounds):
         rows = values.mapInArrow(_expected(cipher, k == 0), "what string, a string, b string, n long")
         moved = rows.groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
         words: Counter = Counter()
+        contexts: Counter = Counter()
         for r in moved:
             if r["what"] == "pair":
                 pairs[r["a"], r["b"]] = max(0, pairs[r["a"], r["b"]] + r["n"])
             elif r["what"] == "single":
                 singles[r["a"]] = max(0, singles[r["a"]] + r["n"])
+            elif r["what"] == "context":
+                contexts[r["a"][0], r["b"], r["a"][1]] += r["n"]
             else:
                 words[r["a"], r["b"]] += r["n"]
         n_values = max(1, sum(r["n"] for r in moved if r["what"] == "values"))
         priors = {s: math.log(min(max((words[s] + 0.5) / n_values, rare / 10), 0.05)) for s in SOURCES}
-        cipher = Cipher(Bigrams(pairs, singles), priors)
+        table = learn_table(contexts, Bigrams(pairs, singles))
+        for a, b in [p for p in pairs if ord(p[0]) in table and p[1].isalpha() or ord(p[1]) in table and p[0].isalpha()]:
+            del pairs[a, b]  # within words these are ciphers
+        cipher = Cipher(Bigrams(pairs, singles), priors | {UNKNOWN: math.log(10 * rare)}, table)
     return cipher
 
 
@@ -425,6 +484,12 @@ def _expected(cipher: Cipher, first: bool):
                 for source in {f[2] for f in found} - {None}:
                     moved["source", *source] += 1
                 ciphered = {(a, b) for a, b, _, _ in found}
+                for a, b in words_beyond_ascii(text):
+                    if (a, b) not in ciphered:
+                        for k in range(max(a, 1), b - 1):  # a sign within a word that no known source explains
+                            c = text[k]
+                            if c > "\x7f" and text[k - 1].isalpha() and text[k + 1].isalpha() and unlikely(text[k - 1], c):
+                                moved["context", text[k - 1] + text[k + 1], c] += 1
                 changes = [(text[a:b], -1, source) for a, b, source, _ in found]
                 changes += [(reading, 1, source) for _, _, source, reading in found if source]
                 if first and _MAYBE_SHAPED.search(text):
