@@ -225,7 +225,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, *, sample: in
     rows = rows.filter(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
     n = df.select(label_of(F.col(f"`{label_col}`")).alias("lang")).filter(F.col("lang").isin(*LANGUAGES)).count()
     share = min(1.0, sample / n) if n else 1.0
-    rows = stage(rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))), "labelled")
+    rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = stage(rows.repartition(df.sparkSession.sparkContext.defaultParallelism), "labelled")  # bounded: spread over all cores
 
     def counts(model: Model | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
