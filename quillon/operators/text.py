@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.runtime import stage
@@ -153,6 +155,11 @@ class TextIndex:
     analyzer: str = "simple"
     language: str = "spanish"
 
+    def cache(self) -> TextIndex:
+        """The index kept in memory, what does not fit on disk; ranged by term, so that a search skips most blocks."""
+        postings = self.postings.repartitionByRange("term").sortWithinPartitions("term")
+        return replace(self, postings=postings.persist(), frequencies=self.frequencies.persist())
+
     def save(self, path: str) -> None:
         """Write the index; it replaces what is at the path. Postings are ranged by term, so a search reads few row groups."""
         spark = self.postings.sparkSession
@@ -187,16 +194,16 @@ def build_index(df: DataFrame, id_col: str, fields: Sequence[str], analyzer: str
     return TextIndex(postings, frequencies, n_docs, present, analyzer, language)
 
 
-def query_vector(index: TextIndex, query: str) -> DataFrame:
-    """(term, q, qnorm) of the query's terms the index knows."""
-    spark = index.postings.sparkSession
-    row = spark.createDataFrame([(query,)], "text string").select(ANALYZERS[index.analyzer](F.col("text"), index.language).alias("tokens"))
-    counts = row.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    rows = [r["term"] for r in counts.collect()]  # the query's own words
-    known = index.frequencies.filter(F.col("term").isin(*rows)) if rows else index.frequencies.filter("false")
-    q = counts.join(known, "term").select("term", (tf(F.col("n")) * idf(F.lit(index.n_docs), F.col("df"))).alias("q")).filter("q > 0").collect()
-    size = sum(r["q"] ** 2 for r in q) ** 0.5
-    return spark.createDataFrame([(r["term"], r["q"], size) for r in q], "term string, q double, qnorm double")
+def query_weights(index: TextIndex, query: str) -> dict[str, float]:
+    """Weights of the query's terms the index knows. Only these terms' frequencies come to the driver."""
+    row = index.postings.sparkSession.createDataFrame(pa.table({"text": pa.array([query], pa.string())}))  # needs no job
+    words = row.select(ANALYZERS[index.analyzer](F.col("text"), index.language).alias("tokens")).first()["tokens"]
+    counts = {w: words.count(w) for w in words}
+    if not counts:
+        return {}
+    known = index.frequencies.filter(F.col("term").isin(*counts)).collect()
+    raw = {r["term"]: (1 + math.log10(counts[r["term"]])) * math.log10(index.n_docs / r["df"]) for r in known}
+    return {t: w for t, w in raw.items() if w > 0}
 
 
 def search(index: TextIndex, query: str, k: int | None = 10) -> DataFrame:
@@ -204,16 +211,31 @@ def search(index: TextIndex, query: str, k: int | None = 10) -> DataFrame:
 
     An empty query, or one of unknown words, gives no rows. Scores have four decimals.
     """
-    q = query_vector(index, query)
-    words = [r["term"] for r in q.select("term").collect()]
-    postings = index.postings.filter(F.col("term").isin(*words)) if words else index.postings.filter("false")
-    hits = postings.join(F.broadcast(q), "term")  # no larger than the query
-    dot = F.sum(F.col("weight") * F.col("q"))
-    scored = hits.groupBy("doc_id").agg((dot / (F.first("qnorm") * F.first("norm"))).alias("score")).filter("score > 0")
+    weight = query_weights(index, query)
+    size = math.sqrt(sum(w * w for w in weight.values()))
+    q = F.lit(0.0)
+    for term, w in weight.items():
+        q = F.when(F.col("term") == term, F.lit(w / size)).otherwise(q)
+    hits = index.postings.filter(F.col("term").isin(*weight)) if weight else index.postings.filter("false")
+    scored = hits.groupBy("doc_id").agg((F.sum(F.col("weight") * q) / F.first("norm")).alias("score")).filter("score > 0")
     best = scored.select("doc_id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "doc_id")
     return best if k is None else best.limit(k)
 
 
+def search_many(index: TextIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, doc_id, score): the same for a table of queries (query_id, query), all in one job."""
+    rows = queries.select("query_id", ANALYZERS[index.analyzer](F.col("query"), index.language).alias("tokens"))
+    counts = rows.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    weighted = counts.join(index.frequencies, "term").select("query_id", "term", (tf(F.col("n")) * idf(F.lit(index.n_docs), F.col("df"))).alias("q"))
+    weighted = weighted.filter("q > 0")
+    size = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("size"))
+    hits = index.postings.join(weighted.join(size, "query_id"), "term")
+    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q")) / (F.first("size") * F.first("norm")), 4).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    ranked = scored.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "doc_id", "score")
+
+
 def fetched(df: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
     """The documents found, with ``similarity_score`` last, best first."""
     scored = found.select(F.col("doc_id").alias(id_col), F.col("score").alias("similarity_score"))

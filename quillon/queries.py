@@ -199,6 +199,12 @@ def text_search_topk(spark, d):
     return text.search(_documents_index(spark, d), WORDS, 10)
 
 
+@query("SELECT 1 AS query_id, rank, doc_id, score FROM (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM (" + _SQL["text_search_topk"] + "))")
+def text_search_many(spark, d):
+    queries = spark.createDataFrame([(1, WORDS), (2, "de la con"), (3, None)], "query_id int, query string")
+    return text.search_many(_documents_index(spark, d), queries, 10)
+
+
 @query(_SONG_SQL + ", " + _search_sql("silver lantern") + "SELECT row_id, track_name, score AS similarity_score FROM found JOIN spotify_songs ON row_id = doc_id ORDER BY score DESC, row_id LIMIT 20")
 def text_search_multi_field(spark, d):
     songs = table(spark, d, "spotify_songs")
