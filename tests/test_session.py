@@ -103,3 +103,11 @@ def test_streams(spark, tmp_path):
     from quillon.operators import text
 
     assert text.search(streaming.index_of(spark, str(tmp_path / "counts"), ["text"]), "moon").first().doc_id == 1
+
+
+def test_scripts(spark, capsys):
+    from quillon.__main__ import main, statements
+
+    assert statements("-- note\nSELECT 1; SELECT ';' AS a;\n") == ["SELECT 1", "SELECT ';' AS a"]
+    assert main(["-e", "SHOW TABLES; SELECT 1 AS one; SELECT * FROM nowhere"]) == 1
+    assert "one" in capsys.readouterr().out
