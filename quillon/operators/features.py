@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,6 +186,13 @@ def available() -> dict[str, list[str]]:
     return {medium: [n for n, (_, needs) in methods.items() if there(needs)] for medium, methods in METHODS.items()}
 
 
+def file_content(path: str) -> bytes:
+    """The bytes of a file, by path or by the URI of any file system Arrow knows."""
+    where, name = pa_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa_fs.LocalFileSystem(), path)
+    with where.open_input_stream(name) as f:
+        return f.read()
+
+
 def _method(medium: str, name: str) -> Callable[[bytes], np.ndarray]:
     if name not in METHODS.get(medium, {}):
         raise ValueError(f"methods for {medium} are {sorted(METHODS.get(medium, {}))}")
@@ -202,8 +210,7 @@ def extract(rows: DataFrame, path_col: str, medium: str, method: str) -> DataFra
             paths, found = [], []
             for path in batch.column("path").to_pylist():
                 try:
-                    with open(path.removeprefix("file:"), "rb") as f:
-                        value = np.atleast_2d(function(f.read()))
+                    value = np.atleast_2d(function(file_content(path)))
                 except Exception:  # not there, or not readable as what it should be
                     continue
                 paths += [path] * len(value)
@@ -229,5 +236,4 @@ def of_file(path: str, method: str) -> list[float]:
     medium = next((m for m, methods in METHODS.items() if method in methods), None)
     if medium is None:
         raise ValueError(f"{path!r} is not in the table, and {method!r} is no method to extract with")
-    with open(path, "rb") as f:
-        return np.asarray(_method(medium, method)(f.read()), float).reshape(-1).tolist()
+    return np.asarray(_method(medium, method)(file_content(path)), float).reshape(-1).tolist()

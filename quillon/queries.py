@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import math
+import struct
+import uuid
+import wave
 from collections.abc import Callable
 
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon import functions, sources, streaming
 from quillon.operators import dataprep, features, keyed, media, spatial, strict_load, text
 from quillon.plans.session import Session
-from quillon.runtime import stage, table
+from quillon.runtime import shared_dir, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -240,7 +245,7 @@ def text_full_analyzer(spark, d):
 
 @query()
 def text_index_saved(spark, d):
-    path = stage(spark.range(1), "place").inputFiles()[0].rsplit("/", 1)[0] + "-index"
+    path = f"{shared_dir(spark)}/quillon/index-{uuid.uuid4().hex}"
     _documents_index(spark, d).save(path)
     return text.search(text.TextIndex.load(spark, path), WORDS, 10)
 
@@ -342,17 +347,17 @@ def media_methods(spark, d):
 
 @query()
 def media_extraction(spark, d):
-    import math
-    import os
-    import struct
-    import wave
-
-    folder = tempfile.mkdtemp(prefix="quillon-sound-")
+    folder = f"{shared_dir(spark)}/quillon/sound-{uuid.uuid4().hex}"
+    where, base = pa_fs.FileSystem.from_uri(folder)
+    where.create_dir(base)
     for k in range(4):
-        with wave.open(os.path.join(folder, f"{k}.wav"), "wb") as w:
+        held = io.BytesIO()
+        with wave.open(held, "wb") as w:
             w.setnchannels(1), w.setsampwidth(2), w.setframerate(22050)
             w.writeframes(b"".join(struct.pack("<h", int(9000 * math.sin(t * 0.02 * (k + 1)))) for t in range(22050)))
-    files = spark.createDataFrame([(os.path.join(folder, f"{k}.wav"),) for k in range(5)], "audio_path string")
+        with where.open_output_stream(f"{base}/{k}.wav") as out:
+            out.write(held.getvalue())
+    files = spark.createDataFrame([(f"{folder}/{k}.wav",) for k in range(5)], "audio_path string")
     found = features.extract(files, "audio_path", "audio", "comprehensive")
     return found.select(functions.basename(F.col("audio_path")).alias("name"), F.size("feature").alias("length"))
 
@@ -470,9 +475,7 @@ def events_sessions(spark, d):
 
 @query(_SQL["text_search_topk"])
 def stream_ingest_search(spark, d):
-    from quillon.runtime import shared_dir
-
-    base = f"{shared_dir(spark)}/quillon/stream-{id(object())}-{spark.sparkContext.applicationId}"
+    base = f"{shared_dir(spark)}/quillon/stream-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").select("doc_id", "text")
     docs.write.mode("overwrite").parquet(f"{base}/in")
     arriving = streaming.read_stream(spark, f"{base}/in", docs.schema)
