@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.encodings import BROKEN, MULTI, SOURCES, decipher
 from quillon.runtime import stage
 
 #: The languages, in the order of the score columns.
@@ -215,6 +216,48 @@ def label_lines(texts: Sequence[str | None], model: Model, switch: float, line_s
     return Lines(np.repeat(np.arange(len(size)), breaks_of + 1), number, language, own - sums.max(1), np.array(filled, bool))
 
 
+def readings(text: str) -> list[str]:
+    """What a text says if it was decoded with a wrong code page, by each swap that can be undone line by line."""
+    found = {}
+    # what decodes as several bytes a letter hardly ever does so by chance
+    for shown, true in sorted(SOURCES, key=lambda source: source[1] not in MULTI):
+        lines = [decipher(x, shown, true) if x and not x.isascii() else x for x in text.split("\n")]
+        reading = "\n".join(x if y is None else y for x, y in zip(text.split("\n"), lines, strict=True))
+        if reading != text:
+            found[reading] = None
+    return list(found)
+
+
+def label_texts(texts: Sequence[str | None], model: Model, switch: float, line_switch: float) -> Lines:
+    """:func:`label_lines`, but a text with many lines that say nothing is labelled by the reading of it that says most."""
+    got = label_lines(texts, model, switch, line_switch)
+    n = len(texts)
+    filled = np.bincount(got.text[got.filled], minlength=n)
+    known = np.bincount(got.text[got.language >= 0], minlength=n)
+    first = np.searchsorted(got.text, np.arange(n))
+    odd = []
+    for k in np.flatnonzero(filled).tolist():
+        if 4 * (filled[k] - known[k]) < filled[k] and not BROKEN.search(texts[k]) or texts[k].isascii():
+            continue
+        text = texts[k].replace("\r\n", "\n").replace("\r", "\n")
+        if BROKEN.search(text) or any(not x.isascii() for j, x in enumerate(text.split("\n")) if got.language[first[k] + j] < 0):
+            odd.append(k)
+    tried = [(k, reading) for k in odd for reading in readings(texts[k].replace("\r\n", "\n").replace("\r", "\n"))]
+    if not tried:
+        return got
+    owner = np.array([k for k, _ in tried])
+    read = label_lines([reading for _, reading in tried], model, switch, line_switch)
+    said = np.bincount(read.text[read.language >= 0], minlength=len(tried))
+    for k in odd:
+        mine = np.flatnonzero(owner == k)
+        if len(mine):
+            best = mine[said[mine].argmax()]
+            if said[best] > known[k] and 2 * said[best] >= filled[k]:
+                here, there = np.flatnonzero(got.text == k), np.flatnonzero(read.text == best)
+                got.language[here], got.margin[here] = read.language[there], read.margin[there]
+    return got
+
+
 def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, *, sample: int = 20_000, switch: float = 3.0, line_switch: float = 1.0) -> Model:
     """Fit on at most about ``sample`` labelled rows, chosen by a hash of the id; the only bound there is.
 
@@ -268,7 +311,7 @@ def stretches(df: DataFrame, id_col: str, text_col: str, model: Model, *, switch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = label_lines(batch.column("_text").to_pylist(), model, switch, line_switch)
+            got = label_texts(batch.column("_text").to_pylist(), model, switch, line_switch)
             some = np.flatnonzero(got.language >= 0)
             text, lang = got.text[some], got.language[some]
             cut = np.concatenate([[True], (text[1:] != text[:-1]) | (lang[1:] != lang[:-1])]) if len(some) else np.zeros(0, bool)
@@ -299,7 +342,7 @@ def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = label_lines(batch.column("_text").to_pylist(), model, switch, line_switch)
+            got = label_texts(batch.column("_text").to_pylist(), model, switch, line_switch)
             n, k = batch.num_rows, len(LANGUAGES)
             lines = np.bincount(got.text[got.filled], minlength=n)
             known = got.language >= 0
