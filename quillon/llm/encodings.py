@@ -472,11 +472,21 @@ def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int =
     return cipher
 
 
+def _signs_within(word: str) -> list[tuple[str, str, str]]:
+    """("context", neighbours, sign) of each sign between two letters that would not stand there in correct text."""
+    return [
+        ("context", a + b, c)
+        for a, c, b in zip(word, word[1:], word[2:], strict=False)
+        if c > "\x7f" and a.isalpha() and b.isalpha() and unlikely(a, c)
+    ]
+
+
 def _expected(cipher: Cipher, first: bool):
     """Counts a round moves: pairs of the ciphered words away, those of their readings in, values of each source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved: Counter = Counter()
+        within: dict[str, list] = {}
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 moved["values", "", ""] += 1
@@ -486,10 +496,14 @@ def _expected(cipher: Cipher, first: bool):
                 ciphered = {(a, b) for a, b, _, _ in found}
                 for a, b in words_beyond_ascii(text):
                     if (a, b) not in ciphered:
-                        for k in range(max(a, 1), b - 1):  # a sign within a word that no known source explains
-                            c = text[k]
-                            if c > "\x7f" and text[k - 1].isalpha() and text[k + 1].isalpha() and unlikely(text[k - 1], c):
-                                moved["context", text[k - 1] + text[k + 1], c] += 1
+                        word = text[a:b]
+                        signs = within.get(word)
+                        if signs is None:
+                            if len(within) > 300_000:
+                                within.clear()
+                            signs = within[word] = _signs_within(word)
+                        for key in signs:
+                            moved[key] += 1
                 changes = [(text[a:b], -1, source) for a, b, source, _ in found]
                 changes += [(reading, 1, source) for _, _, source, reading in found if source]
                 if first and _MAYBE_SHAPED.search(text):

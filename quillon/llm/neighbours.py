@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import vectors as V
+from quillon.runtime import stage
 
 
 def _placer(index: V.Index, probes: int, role: int, salt: int):
@@ -111,17 +112,42 @@ def nearest(
     that answer; ``min_cosine`` drops neighbours below it and lets the scan
     abandon candidates at once. Every usable row is indexed; ``sample`` bounds only
     what the list centroids are fitted on. A list of more than ``block`` rows is
-    split, and each query visits all its blocks. Unusable rows neither ask nor
+    split, and each query visits all its blocks. Rows with equal vectors are searched
+    for as one and are each other's neighbours at a cosine of 1, the smallest ids first. Unusable rows neither ask nor
     answer; an empty table, or a group of one row, gives no rows.
     """
     rows = V.prepared(df, id_col, group_col, vector_col, lengths)
-    index = V.fit_index(rows, sample=sample, block=block)
-    asking = rows.filter(query_filter) if query_filter else rows
-    found = search(rows, asking, index, k=k, probes=probes, min_cosine=min_cosine, eps=eps)
+    twins = _twins(rows, k)
+    heads = rows.join(twins.filter("id <> head").select("id"), "id", "left_anti")
+    index = V.fit_index(heads, sample=sample, block=block)
+    asked = twins.filter(query_filter) if query_filter else twins
+    asking = heads.join(asked.select(F.col("head").alias("id")).distinct(), "id", "left_semi") if query_filter else heads
+    found = search(heads, asking, index, k=k, probes=probes, min_cosine=min_cosine, eps=eps)
+    shown = twins.filter(F.col("place") <= k + 1).select("head", F.col("id").alias("b"))
+    many = shown.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("head")
+    others = found.select("a", F.col("b").alias("head"), "cosine").join(shown, "head").select("a", "b", "cosine")
+    own = shown.join(many, "head").select(F.col("head").alias("a"), "b", F.lit(1.0).cast("float").alias("cosine"))
     order = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-    return found.select(
-        F.col("a").alias("id"), F.col("b").alias("neighbour"), F.row_number().over(order).alias("rank"), "cosine"
-    )
+    best = others.unionByName(own).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+    each = best.join(asked.select("id", F.col("head").alias("a")), "a").filter("id <> b")
+    order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "b")
+    return each.select("id", F.col("b").alias("neighbour"), F.row_number().over(order).alias("rank"), "cosine").filter(F.col("rank") <= k)
+
+
+def _twins(rows: DataFrame, k: int) -> DataFrame:
+    """(id, head, place): of each row the smallest id with an equal vector, and its place among those ids up to k + 1; staged.
+
+    Copies are searched for once, by their head, so that a group of copies of any size costs no
+    more than its rows. Places are found within salted parts of a group first.
+    """
+    key = ["grp", "h", "g"]
+    copies = rows.select("id", "grp", F.xxhash64("vec").alias("h"), F.hash("vec").alias("g"))
+    part = Window.partitionBy(*key, F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
+    few = copies.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k + 1).drop("r")
+    few = few.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).filter(F.col("place") <= k + 1)
+    head = few.filter("place = 1").select(*key, F.col("id").alias("head"))
+    place = few.select("id", "place")
+    return stage(copies.join(head, key).join(place, "id", "left").select("id", "head", F.coalesce("place", F.lit(k + 2)).alias("place")), "twins")
 
 
 def similar_pairs(df: DataFrame, id_col: str, group_col: str, vector_col: str, lengths: Mapping[str, int], *, min_cosine: float, **options) -> DataFrame:

@@ -204,3 +204,23 @@ def test_query(spark, name):
         assert _norm(got) == _norm(con.sql(sql).df())
     assert len(got) > 0 or name == "p2_found"
     assert rows(spark.createDataFrame([(1,)], "a int")) == [(1,)]
+
+
+def test_copies_are_neighbours_in_order_of_id(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((60, 16))
+    data = [(k, "audio", base[0 if k % 3 == 0 else k % 60].tolist()) for k in range(300)]  # one vector has a third of all rows
+    df = spark.createDataFrame(data, "vec_id long, medium string, feature array<float>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, *ARGS, k=8, probes=99, block=20).orderBy("id", "rank").collect():
+        got[r.id].append(r.neighbour)
+    x = np.array([v for _, _, v in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(300):
+        sims = np.round(x @ x[k], 6)
+        want = [int(i) for i in np.lexsort((np.arange(300), -sims)) if i != k][:8]
+        same = [i for i in want if sims[i] == 1.0]
+        assert got[k][: len(same)] == same and len(got[k]) == 8
+    assert [i for i in range(0, 27, 3)][1:] == got[0]
+    asked = neighbours.nearest(df, *ARGS, k=2, probes=99, query_filter="id = 6").collect()
+    assert sorted((r.id, r.neighbour) for r in asked) == [(6, 0), (6, 3)]
