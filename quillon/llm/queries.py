@@ -129,8 +129,37 @@ stats AS (SELECT term, count(*) AS df, sum(y) AS c FROM counts GROUP BY term)
 """
 
 
+_P3_PAIRS = """
+WITH words AS (
+  SELECT row_id, list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', track_name, track_artist, lyrics)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w
+  FROM spotify_songs),
+long AS (SELECT row_id, len(w) AS n, unnest(w) AS word FROM words WHERE len(w) >= 30),
+common AS (
+  SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o
+  FROM long a JOIN long b ON a.word = b.word AND a.row_id < b.row_id GROUP BY 1, 2)
+SELECT row_id_a, row_id_b FROM common WHERE o * 10 >= (na + nb - o) * 7
+"""
+
+_UNIT = """
+WITH usable AS (
+  SELECT vec_id, medium, feature::DOUBLE[] AS v FROM media_features
+  WHERE len(feature) = CASE medium WHEN 'image' THEN 128 WHEN 'audio' THEN 56 END
+  AND len(list_filter(feature, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(feature, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS cosine
+  FROM usable a JOIN usable b ON a.medium = b.medium AND a.vec_id <> b.vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _P3_PAIRS,
+        "p4_found": _UNIT + "SELECT a AS vec_id_a, b AS vec_id_b FROM pairs WHERE cosine >= 0.985 AND a < b",
+        "p6_found": _UNIT
+        + """, near AS (SELECT a, least(a, min(b)) AS low, count(*) AS n FROM pairs WHERE cosine >= 0.8 GROUP BY a),
+sized AS (SELECT a, low, n, count(*) OVER (PARTITION BY low) AS members, min(n) OVER (PARTITION BY low) AS least_n, max(n) OVER (PARTITION BY low) AS most_n FROM near)
+SELECT a AS vec_id, low AS cluster_id FROM sized WHERE members >= 3 AND least_n = members - 1 AND most_n = members - 1""",
+        "p8_round_trip": "SELECT true AS same, count(*) AS n FROM documents",
         "p2_found": _P2_COUNTS
         + "SELECT row_id, term FROM counts JOIN stats USING (term) WHERE y >= 3 AND df BETWEEN 2 AND 6",
         "p2_top_terms": _P2_COUNTS
