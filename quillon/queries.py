@@ -243,7 +243,7 @@ def text_full_analyzer(spark, d):
     return text.document_frequencies(text.term_counts(docs))
 
 
-@query()
+@query(_SQL["text_search_topk"])
 def text_index_saved(spark, d):
     path = f"{shared_dir(spark)}/quillon/index-{uuid.uuid4().hex}"
     _documents_index(spark, d).save(path)
@@ -534,7 +534,7 @@ def sql_media_search(spark, d):
     return s.sql('SELECT image_path, label FROM pictures WHERE embedding <-> "elsewhere/7.jpg" METHOD sequential LIMIT 8')
 
 
-@query()
+@query("SELECT * FROM (VALUES ('nation', 'btree', 'n_nationkey', 3), ('part', 'btree', 'p_partkey', 6), ('region', 'btree', 'r_regionkey', 2)) t(name, kind, key, columns)")
 def catalog_tables(spark, d):
     return _session(spark, d, "nation", "region", "part").sql("SHOW TABLES")
 
