@@ -10,8 +10,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
@@ -68,9 +72,17 @@ def release_all() -> None:
 atexit.register(release_all)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bounded(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts of at most about ``size`` bytes of a text column, so that long texts take no more memory."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + size, "right")))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
