@@ -13,6 +13,10 @@ from quillon.llm import vectors as V
 from quillon.runtime import stage
 
 
+#: Most ids that are broadcast.
+BROADCAST_IDS = 500_000
+
+
 def _placer(index: V.Index, probes: int, role: int, salt: int):
     """(cell, role, id, vec) of each row: role 0 once, in its closest list; role 1 in all blocks of its probed lists."""
 
@@ -118,17 +122,20 @@ def nearest(
     """
     rows = V.prepared(df, id_col, group_col, vector_col, lengths)
     twins = _twins(rows, k)
-    heads = rows.join(twins.filter("id <> head").select("id"), "id", "left_anti")
+    others = twins.filter("id <> head").select("id")
+    # beyond this many copies (8 bytes each) the vectors are shuffled instead
+    others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
+    heads = rows.join(others, "id", "left_anti")
     index = V.fit_index(heads, sample=sample, block=block)
     asked = twins.filter(query_filter) if query_filter else twins
     asking = heads.join(asked.select(F.col("head").alias("id")).distinct(), "id", "left_semi") if query_filter else heads
     found = search(heads, asking, index, k=k, probes=probes, min_cosine=min_cosine, eps=eps)
     shown = twins.filter(F.col("place") <= k + 1).select("head", F.col("id").alias("b"))
     many = shown.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("head")
-    others = found.select("a", F.col("b").alias("head"), "cosine").join(shown, "head").select("a", "b", "cosine")
+    across = found.select("a", F.col("b").alias("head"), "cosine").join(shown, "head").select("a", "b", "cosine")
     own = shown.join(many, "head").select(F.col("head").alias("a"), "b", F.lit(1.0).cast("float").alias("cosine"))
     order = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-    best = others.unionByName(own).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+    best = across.unionByName(own).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
     each = best.join(asked.select("id", F.col("head").alias("a")), "a").filter("id <> b")
     order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "b")
     return each.select("id", F.col("b").alias("neighbour"), F.row_number().over(order).alias("rank"), "cosine").filter(F.col("rank") <= k)
