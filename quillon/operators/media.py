@@ -223,12 +223,11 @@ def with_metadata(found: DataFrame, table: DataFrame, path_col: str, found_path:
 
 def index_stats(index: MediaIndex) -> DataFrame:
     """One row: n_objects, n_words, n_postings, sparsity, mean_norm, avg_postings_per_word."""
-    posted = index.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.countDistinct("dim").alias("n_words"))
+    posted = index.postings.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dim").alias("words")).first()
+    n, words = posted["n"], posted["words"]
     size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    filled = index.vectors.agg(F.count(F.lit(1)).alias("n_objects"), F.sum(F.size("vec")).alias("cells"), F.avg(size).alias("mean_norm"))
-    one = F.lit(0).alias("one")
-    both = posted.select("*", one).join(filled.select("*", one), "one")
-    return both.select(
-        "n_objects", "n_words", "n_postings", F.round(1 - F.col("n_postings") / F.col("cells"), 6).alias("sparsity"),
-        F.round("mean_norm", 6).alias("mean_norm"), F.round(F.col("n_postings") / F.col("n_words"), 6).alias("avg_postings_per_word"),
+    return index.vectors.agg(
+        F.count(F.lit(1)).alias("n_objects"), F.lit(words).alias("n_words"), F.lit(n).alias("n_postings"),
+        F.round(1 - F.lit(n) / F.sum(F.size("vec")), 6).alias("sparsity"), F.round(F.avg(size), 6).alias("mean_norm"),
+        F.round(F.lit(n / words if words else 0.0), 6).alias("avg_postings_per_word"),
     )

@@ -244,14 +244,10 @@ def fetched(df: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
 
 def index_stats(index: TextIndex) -> DataFrame:
     """One row: total_terms, total_documents, total_postings, avg_postings_per_term, avg_df, hapax_count."""
-    posted = index.postings.agg(F.count(F.lit(1)).alias("total_postings"), F.countDistinct("term").alias("posted_terms"))
-    terms = index.frequencies.agg(
-        F.count(F.lit(1)).alias("total_terms"), F.avg("df").alias("avg_df"), F.sum(F.when(F.col("df") == 1, 1).otherwise(0)).alias("hapax_count")
-    )
-    one = F.lit(0).alias("one")
-    both = posted.select("*", one).join(terms.select("*", one), "one")
-    average = F.when(F.col("posted_terms") > 0, F.col("total_postings") / F.col("posted_terms")).otherwise(F.lit(0.0))
-    return both.select(
-        "total_terms", F.lit(index.n_docs).alias("total_documents"), "total_postings",
-        F.round(average, 6).alias("avg_postings_per_term"), F.round("avg_df", 6).alias("avg_df"), "hapax_count",
+    posted = index.postings.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("terms")).first()
+    average = posted["n"] / posted["terms"] if posted["terms"] else 0.0
+    return index.frequencies.agg(
+        F.count(F.lit(1)).alias("total_terms"), F.lit(index.n_docs).alias("total_documents"), F.lit(posted["n"]).alias("total_postings"),
+        F.round(F.lit(average), 6).alias("avg_postings_per_term"), F.round(F.avg("df"), 6).alias("avg_df"),
+        F.coalesce(F.sum(F.when(F.col("df") == 1, 1).otherwise(0)), F.lit(0)).alias("hapax_count"),
     )
