@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.encodings import BROKEN, MULTI, SOURCES, decipher
-from quillon.runtime import stage
+from quillon.runtime import bounded, stage
 
 #: The languages, in the order of the score columns.
 LANGUAGES = ("en", "es", "pt", "fr", "de", "it", "ru", "ja")
@@ -274,7 +274,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, *, sample: in
     def counts(model: Model | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple[str, str], int] = {}
-            for batch in batches:
+            for batch in bounded(batches, "text"):
                 texts, labels = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
                 if model is None:
                     parts = zip(texts, labels, strict=True)
@@ -310,7 +310,7 @@ def stretches(df: DataFrame, id_col: str, text_col: str, model: Model, *, switch
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "_text"):
             got = label_texts(batch.column("_text").to_pylist(), model, switch, line_switch)
             some = np.flatnonzero(got.language >= 0)
             text, lang = got.text[some], got.language[some]
@@ -341,7 +341,7 @@ def languages(df: DataFrame, id_col: str, text_col: str, label_col: str, model:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "_text"):
             got = label_texts(batch.column("_text").to_pylist(), model, switch, line_switch)
             n, k = batch.num_rows, len(LANGUAGES)
             lines = np.bincount(got.text[got.filled], minlength=n)
