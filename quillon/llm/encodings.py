@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.runtime import bounded
+
 #: Code pages a text can be shown in, each with what its bytes may truly have been.
 SWAPS: Mapping[str, Sequence[str]] = {
     "cp1252": ("utf-8", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "cp932", "euc_jp"),
@@ -405,7 +407,7 @@ def _kinds() -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, n): pairs of character classes, and with a = -1 single characters of the large scripts; summed over a partition."""
     pairs: Counter = Counter()
-    for batch in batches:
+    for batch in bounded(batches, "text"):
         texts = batch.column("text").to_pylist()
         for k in range(0, len(texts), 512):
             # sequences shaped as UTF-8 are left to the first round, which adds those that stand
@@ -487,7 +489,7 @@ def _expected(cipher: Cipher, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved: Counter = Counter()
         within: dict[str, list] = {}
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             for text in batch.column("text").to_pylist():
                 moved["values", "", ""] += 1
                 found = cipher.examine(text)
@@ -535,7 +537,7 @@ def garbled(df: DataFrame, id_col: str, text_cols: Sequence[str], cipher: Cipher
     cipher = cipher or learn(df, id_col, text_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             row, sources, restored, complete = [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 found = cipher.examine(text)

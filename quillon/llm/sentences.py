@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.runtime import bounded
+
 # Abbreviations by what they stand before.
 #: before a name
 TITLES = """
@@ -234,7 +236,7 @@ def sentences(df: DataFrame, id_col: str, text_col: str, *, with_text: bool = Fa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "_text"):
             row, number, starts, ends, parts = [], [], [], [], []
             for k, text in enumerate(batch.column("_text").to_pylist()):
                 last = 0

@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.runtime import bounded
+
 #: Fixed value: how the vocabulary's authors split a text before merging bytes.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A place where the pattern always starts a new piece, whatever stands before it: a blank or line break after a mark.
@@ -66,7 +68,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, *, rank_file: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file)
-        for batch in batches:
+        for batch in bounded(batches, "_text"):
             ids = [encode_text(enc, t, piece) if t else [] for t in batch.column("_text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.fromiter((i for x in ids for i in x), np.int32, offsets[-1])
