@@ -47,6 +47,9 @@ SWAPS: Mapping[str, Sequence[str]] = {
 MULTI = ("utf-8", "cp932", "euc_jp")
 #: The source of swaps between pages that are not known.
 UNKNOWN = ("unknown", "learned")
+#: UTF-8 shown byte by byte, with the bytes that show as controls or blanks dropped, and what is left of which letters.
+LOST = ("latin-1", "utf-8 without controls")
+LEFT_OF = {"Ã": [*map(chr, range(0xC0, 0xE0)), "à", "í"], "â": list("’‘“”…–—")}
 #: Characters no correct text holds: the replacement sign and C1 controls but for next line.
 BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
 _HIGH = re.compile("[^\x00-\x7f]+")
@@ -139,11 +142,11 @@ def unlikely(a: str, b: str) -> bool:
     latin_a, latin_b = a.isalpha() and a < "ɐ", b.isalpha() and b < "ɐ"
     if latin_a and b > "\x7f":
         return (not latin_b and unicodedata.category(b)[0] != "P") or (a.islower() and b.isupper())
-    return latin_b and a > "\x7f" and not latin_a
+    return latin_b and a > "\x7f" and not latin_a and unicodedata.category(a)[0] != "P"
 
 
-#: Pairs no more frequent than this after their first character are taken for noise where they are unlikely.
-NOISE = 3e-7
+#: Unlikely pairs no more frequent than this among all characters are taken for text yet to be found.
+NOISE = 2e-7
 #: Pages of the same letters: words in capitals look alike in them, so more is asked of each word.
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
 
@@ -176,8 +179,8 @@ class Bigrams:
         g = group(a)
         pair, by_group = self.pairs[a, b], self.groups[g, b]
         if unlikely(a, b):  # so few as this may all come from text yet to be found
-            pair = max(0.0, pair - 3 - NOISE * self.left[a])
-            by_group = max(0.0, by_group - 3 - NOISE * self.group_left[g])
+            pair = max(0.0, pair - 3 - NOISE * self.all)
+            by_group = max(0.0, by_group - 3 - NOISE * self.all)
         base = (self.right[b] + 0.2) / (self.all + 2000)
         back = (by_group + 50 * base) / (self.group_left[g] + 50)
         p = (pair + self.weight * back) / (self.left[a] + self.weight)
@@ -344,6 +347,11 @@ class Cipher:
                     odds = self.bigrams.score(text) - base
                     if odds > 0 and odds + self.priors[source] > best:
                         got, best = (odds, source, text), odds + self.priors[source]
+                if "Ã" in word or "â" in word:
+                    text = self._filled(_utf8(word, "latin-1") or word)
+                    odds = self.bigrams.score(text) - base
+                    if text != word and odds > 0 and odds + self.priors[LOST] > best:
+                        got, best = (odds, LOST, text), odds + self.priors[LOST]
                 if got[1] is None and self.table:
                     text = word.translate(self.table)
                     odds = self.bigrams.score(text) - base
@@ -354,6 +362,16 @@ class Cipher:
             seen[word] = got
         return got
 
+    def _filled(self, word: str) -> str:
+        """The word with each sign of a letter whose other bytes were dropped made the letter that fits best."""
+        out, step = "", self.bigrams._one
+        for k, c in enumerate(word):
+            if c in LEFT_OF:
+                a, b = kind(out[-1]) if out else EDGE, word[k + 1] if k + 1 < len(word) else EDGE
+                c = max([c, *LEFT_OF[c]], key=lambda x: step(a, x) + step(kind(x), b))
+            out += c
+        return out
+
     def examine(self, text: str, near: float = 2.0) -> list[tuple[int, int, tuple[str, str] | None, str]]:
         """(start, end, source, reading) of the ciphered words of a text; without a source where nothing can be told.
 
@@ -366,6 +384,8 @@ class Cipher:
             odds, source, reading = self.read(word)
             if source is not None and source[0] in CYRILLIC and source[1] in CYRILLIC and odds < 4 * near:
                 source = None
+            if source == LOST and odds < 5 * near:  # capitals with a tilde look alike
+                source = None
             if source is not None:
                 open_.append((a, b, source, reading, odds))
             elif BROKEN.search(word):
@@ -449,7 +469,7 @@ def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int =
     """EM over all values of ``text_cols``. The driver gets counts of pairs of characters, as many as alphabets have, and of symbols."""
     got = _stacked(df, id_col, text_cols, False).select("text").mapInArrow(_count, "a long, b long, n long")
     pairs, singles = _model(got.groupBy("a", "b").agg(F.sum("n").alias("n")).collect())
-    cipher = Cipher(Bigrams(pairs, singles), dict.fromkeys([*SOURCES, UNKNOWN], math.log(rare)))
+    cipher = Cipher(Bigrams(pairs, singles), dict.fromkeys([*SOURCES, LOST, UNKNOWN], math.log(rare)))
     values = _stacked(df, id_col, text_cols, True).select("text")
     for k in range(rounds):
         rows = values.mapInArrow(_expected(cipher, k == 0), "what string, a string, b string, n long")
@@ -466,7 +486,7 @@ def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int =
             else:
                 words[r["a"], r["b"]] += r["n"]
         n_values = max(1, sum(r["n"] for r in moved if r["what"] == "values"))
-        priors = {s: math.log(min(max((words[s] + 0.5) / n_values, rare / 10), 0.05)) for s in SOURCES}
+        priors = {s: math.log(min(max((words[s] + 0.5) / n_values, rare / 10), 0.05)) for s in [*SOURCES, LOST]}
         table = learn_table(contexts, Bigrams(pairs, singles))
         for a, b in [p for p in pairs if ord(p[0]) in table and p[1].isalpha() or ord(p[1]) in table and p[0].isalpha()]:
             del pairs[a, b]  # within words these are ciphers
