@@ -159,7 +159,7 @@ def clusters(
     threshold: float = 0.8,
     min_size: int = 3,
     probes: int = 4,
-    sample: int = 16384,
+    sample: int = 65536,
     block: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
     """Vectors (id, grp, vec) and members (id, grp, pivot, size) of the clusters of at least ``min_size`` rows.

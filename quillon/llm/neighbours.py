@@ -106,7 +106,7 @@ def nearest(
     probes: int = 4,
     min_cosine: float | None = None,
     query_filter: str | None = None,
-    sample: int = 16384,
+    sample: int = 65536,
     block: int = 4096,
     eps: float = 2.1,
 ) -> DataFrame:

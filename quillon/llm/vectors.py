@@ -137,7 +137,7 @@ def mixed(ids: np.ndarray, salt: int) -> np.ndarray:
 
 
 def fit_index(rows: DataFrame, *, sample: int, block: int, probes: int = 1, seed: int = 3) -> Index:
-    """Fit sqrt(n) lists per group on at most ``sample`` rows a group, and count what they hold.
+    """Fit sqrt(n) lists per group on 32 rows a list, at most ``sample`` rows a group, and count what they hold.
 
     The sample is chosen by a hash of the id. With ``probes`` > 1 a row counts in each of its closest lists.
     The driver sees the sample and one count per list, never a row more.
@@ -145,7 +145,8 @@ def fit_index(rows: DataFrame, *, sample: int, block: int, probes: int = 1, seed
     counts = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for g, n in counts.items():
-        share = F.when(F.col("grp") == g, F.lit(min(1.0, 0.9 * sample / n))).otherwise(share)
+        wanted = min(sample, max(4096, 32 * math.ceil(math.sqrt(n))))
+        share = F.when(F.col("grp") == g, F.lit(min(1.0, 0.9 * wanted / n))).otherwise(share)
     centroids, first, total = {}, {}, 0
     for g in sorted(counts):
         hashed = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)
