@@ -42,10 +42,45 @@ def _placer(index: V.Index, probes: int, role: int, salt: int):
     return run
 
 
+def _widener(index: V.Index, part: int = 1 << 16):
+    """(cell, role, id, vec, least) of each row (id, grp, vec, least), role 1: in every cell that can hold a row of a cosine of ``least`` or more.
+
+    By the triangle inequality no row of a list is closer than the angle to its centroid less the list's reach.
+    """
+    cells = int((index.cells + index.blocks).max(initial=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = batch.column("grp").to_numpy(zero_copy_only=False)
+            for g in set(group.tolist()):
+                mine = batch.take(pa.array(np.flatnonzero(group == g)))
+                ids, least = mine.column("id").to_numpy(), mine.column("least").to_numpy()
+                x = V.as_matrix(mine.column("vec"))
+                half, unit = x.astype(np.float16), x / np.linalg.norm(x, axis=1, keepdims=True)
+                first, c = index.first[g], index.centroids[g]
+                for a in range(0, len(ids), 2048):
+                    angle = np.arccos(np.clip(unit[a : a + 2048] @ c.T, -1, 1)) - index.reach[first : first + len(c)]
+                    # the margin covers half precision
+                    wide = np.arccos(np.clip(least[a : a + 2048] - 0.002, -1, 1)) + 0.002
+                    at, lists = np.nonzero(angle <= wide[:, None])
+                    lists = lists + first
+                    many = index.blocks[lists]
+                    block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    key = np.unique(np.repeat(at, many) * cells + np.repeat(index.cells[lists], many) + block)
+                    for b in range(0, len(key), part):
+                        at, cell = key[b : b + part] // cells + a, key[b : b + part] % cells
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(cell), pa.array(np.ones(len(at), np.int32)), pa.array(ids[at]), V.as_binary(half[at]), pa.array(least[at])],
+                            ["cell", "role", "id", "vec", "least"],
+                        )
+
+    return run
+
+
 def _scanner(k: int, min_cosine: float | None, eps: float, chunk: int = 512):
     """Best k of a cell's rows for each query that probes it."""
 
-    def step(ids: np.ndarray, column: pa.Array, kept: list) -> Iterator[pa.RecordBatch]:
+    def step(ids: np.ndarray, column: pa.Array, kept: list, least: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         base_ids = np.concatenate([i for i, _ in kept])
         base = np.concatenate([x if isinstance(x, np.ndarray) else V.as_matrix(x) for _, x in kept])
         kept[:] = [(base_ids, base)]
@@ -56,7 +91,7 @@ def _scanner(k: int, min_cosine: float | None, eps: float, chunk: int = 512):
             if min_cosine is not None:
                 bound = np.full(len(q), 2 - 2 * min_cosine, np.float32)
             else:
-                bound = np.full(len(q), 4.1, np.float32)
+                bound = np.full(len(q), 4.1, np.float32) if least is None else 2 - 2 * least[a : a + chunk] + np.float32(1e-3)
             if min_cosine is None and len(base) > 8 * (k + 1):
                 head = q @ base[: 8 * (k + 1)].T
                 bound = np.minimum(bound, 2 - 2 * -np.partition(-head, k, axis=1)[:, k] + 1e-3)
@@ -91,6 +126,26 @@ def search(
     asked = queries.select("id", "grp", "vec").mapInArrow(_placer(index, probes, 1, salt), schema)
     rows = held.union(asked).repartition("cell").sortWithinPartitions("cell", "role")
     near = rows.mapInArrow(_scanner(k, min_cosine, eps), "a long, b long, cosine float")
+    return _best(near, k)
+
+
+def widened(base: DataFrame, queries: DataFrame, index: V.Index, *, k: int, probes: int, block: int, eps: float = 2.1, salt: int = 0) -> DataFrame:
+    """(a, b, cosine) as :func:`search`, over all lists that can matter.
+
+    The k-th cosine in the ``probes`` closest lists bounds a second search, which visits every list
+    that the bound does not rule out; a row that saw fewer than k visits all.
+    """
+    seen = search(base, queries, index, k=k, probes=probes, eps=eps, salt=salt).groupBy(F.col("a").alias("id"))
+    least = seen.agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).alias("least"))
+    asked = queries.select("id", "grp", "vec").join(least, "id", "left").select("id", "grp", "vec", F.coalesce("least", F.lit(-1.0).cast("float")).alias("least"))
+    index = V.with_reach(base, index, block=block)
+    schema = "cell long, role int, id long, vec binary"
+    held = base.select("id", "grp", "vec").mapInArrow(_placer(index, 1, 0, salt), schema).withColumn("least", F.lit(None).cast("float"))
+    rows = held.union(asked.mapInArrow(_widener(index), schema + ", least float")).repartition("cell").sortWithinPartitions("cell", "role")
+    return _best(rows.mapInArrow(_scanner(k, None, eps), "a long, b long, cosine float"), k)
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
@@ -105,6 +160,7 @@ def nearest(
     k: int = 8,
     probes: int = 4,
     min_cosine: float | None = None,
+    widen: bool = False,
     query_filter: str | None = None,
     sample: int = 65536,
     block: int = 4096,
@@ -114,7 +170,8 @@ def nearest(
 
     ``query_filter`` (SQL over ``id``) restricts the rows that ask, never those
     that answer; ``min_cosine`` drops neighbours below it and lets the scan
-    abandon candidates at once. Every usable row is indexed; ``sample`` bounds only
+    abandon candidates at once. With ``widen``, which takes no ``min_cosine``, each query goes on from its ``probes`` closest
+    lists to all that can hold one of its k, however many lists there are. Every usable row is indexed; ``sample`` bounds only
     what the list centroids are fitted on. A list of more than ``block`` rows is
     split, and each query visits all its blocks. Rows with equal vectors are searched
     for as one and are each other's neighbours at a cosine of 1, the smallest ids first. Unusable rows neither ask nor
@@ -129,7 +186,10 @@ def nearest(
     index = V.fit_index(heads, sample=sample, block=block)
     asked = twins.filter(query_filter) if query_filter else twins
     asking = heads.join(asked.select(F.col("head").alias("id")).distinct(), "id", "left_semi") if query_filter else heads
-    found = search(heads, asking, index, k=k, probes=probes, min_cosine=min_cosine, eps=eps)
+    if widen:
+        found = widened(heads, asking, index, k=k, probes=probes, block=block, eps=eps)
+    else:
+        found = search(heads, asking, index, k=k, probes=probes, min_cosine=min_cosine, eps=eps)
     shown = twins.filter(F.col("place") <= k + 1).select("head", F.col("id").alias("b"))
     many = shown.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("head")
     across = found.select("a", F.col("b").alias("head"), "cosine").join(shown, "head").select("a", "b", "cosine")

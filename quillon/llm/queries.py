@@ -51,7 +51,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = table(spark, sf_dir, "media_features")
-    near = neighbours.nearest(media, "vec_id", "medium", "feature", LENGTHS, k=8, probes=128, query_filter="id % 20 = 0")
+    near = neighbours.nearest(media, "vec_id", "medium", "feature", LENGTHS, k=8, probes=8, widen=True, query_filter="id % 20 = 0")
     return near.select(F.col("id").alias("vec_id"), "neighbour", "rank", F.round("cosine", 3).alias("cosine"))
 
 

@@ -100,6 +100,8 @@ class Index:
     first: dict[str, int]
     blocks: np.ndarray
     cells: np.ndarray
+    #: largest angle of each list between its centroid and a row it holds, see :func:`with_reach`
+    reach: np.ndarray | None = None
 
     def nearest(self, group: str, x: np.ndarray, probes: int) -> np.ndarray:
         """The numbers of the closest lists of each row, closest first."""
@@ -172,6 +174,51 @@ def fit_index(rows: DataFrame, *, sample: int, block: int, probes: int = 1, seed
     return Index(centroids, first, blocks, np.concatenate([[0], np.cumsum(blocks)[:-1]]).astype(np.int64))
 
 
+def _chain(c: np.ndarray) -> np.ndarray:
+    """An order of the centroids in which each is followed by the closest that is left."""
+    order, left, at = np.zeros(len(c), np.int64), np.ones(len(c), bool), 0
+    for k in range(1, len(c)):
+        left[at] = False
+        at = order[k] = int(np.where(left, c @ c[at], -9).argmax())
+    return order
+
+
+def with_reach(rows: DataFrame, index: Index, *, block: int) -> Index:
+    """The index with the reach of its lists, and lists close to each other in one cell of at most ``block`` rows.
+
+    The driver sees a count and an angle per list.
+    """
+    total = len(index.blocks)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, reach = np.zeros(total, np.int64), np.zeros(total)
+        for g, _, x in by_group(batches):
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            for a in range(0, len(x), 2048):
+                score = x[a : a + 2048] @ index.centroids[g].T
+                best = score.max(1)
+                held += np.bincount(score.argmax(1) + index.first[g], minlength=total)
+                i, j = np.nonzero(score >= best[:, None] - 1e-4)  # whichever of equally close lists holds the row
+                np.maximum.at(reach, j + index.first[g], np.arccos(np.clip(score[i, j], -1, 1)))
+        some = np.flatnonzero((held > 0) | (reach > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some]), pa.array(reach[some])], ["list", "n", "reach"])
+
+    seen = rows.select("id", "grp", "vec").mapInArrow(lists, "list long, n long, reach double").groupBy("list")
+    held, reach = np.zeros(total, np.int64), np.zeros(total)
+    for r in seen.agg(F.sum("n").alias("n"), F.max("reach").alias("reach")).collect():
+        held[r["list"]], reach[r["list"]] = r["n"], r["reach"]
+    cells, cell = np.zeros(total, np.int64), 0
+    for g, c in index.centroids.items():
+        room = 0  # rows that the open cell still takes
+        for k in _chain(c) + index.first[g]:
+            if index.blocks[k] > 1 or held[k] > room:
+                cells[k], cell = cell, cell + index.blocks[k]
+                room = max(0, block - held[k]) if index.blocks[k] == 1 else 0
+            else:
+                cells[k], room = cell - 1, room - held[k]
+    return Index(index.centroids, index.first, index.blocks, cells, reach)
+
+
 def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(group, ids, matrix) of each group in each batch of (id, grp, vec)."""
     for batch in batches:
@@ -225,8 +272,8 @@ def first_k(group: np.ndarray, value: np.ndarray, tie: np.ndarray, k: int) -> np
     return order[rank < k]
 
 
-def cells_of(batches: Iterator[pa.RecordBatch], step: Callable[[np.ndarray, np.ndarray, list], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Walk rows (cell, role, id, vec) sorted by cell and role; role 0 is kept for the cell, the rest is handed to ``step``."""
+def cells_of(batches: Iterator[pa.RecordBatch], step: Callable[..., Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Walk rows (cell, role, id, vec[, least]) sorted by cell and role; role 0 is kept for the cell, the rest is handed to ``step``."""
     cell, kept = None, []
     for batch in batches:
         if not batch.num_rows:
@@ -239,4 +286,5 @@ def cells_of(batches: Iterator[pa.RecordBatch], step: Callable[[np.ndarray, np.n
             if roles[a] == 0:
                 kept.append((ids, x))
             elif kept:
-                yield from step(ids, x, kept)
+                least = batch.column("least").slice(a, z - a).to_numpy() if "least" in batch.schema.names else None
+                yield from step(ids, x, kept, least)

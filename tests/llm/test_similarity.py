@@ -5,6 +5,8 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +226,21 @@ def test_copies_are_neighbours_in_order_of_id(spark):
     assert [i for i in range(0, 27, 3)][1:] == got[0]
     asked = neighbours.nearest(df, *ARGS, k=2, probes=99, query_filter="id = 6").collect()
     assert sorted((r.id, r.neighbour) for r in asked) == [(6, 0), (6, 3)]
+
+
+def test_nearest_of_many_lists_are_found(spark, tmp_path):
+    """With 200 lists; probing 128 of them loses neighbours of rows that lie in no cluster."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40000, 128)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows_ = pa.table({"vec_id": np.arange(40000), "medium": ["image"] * 40000, "feature": pa.FixedSizeListArray.from_arrays(x.reshape(-1), 128).cast(pa.list_(pa.float32()))})
+    pq.write_table(rows_, tmp_path / "media_features.parquet")
+    got = defaultdict(set)
+    for r in queries.p4_nearest(spark, str(tmp_path)).collect():
+        got[r.vec_id].add(r.neighbour)
+    asked = np.arange(0, 40000, 20)
+    sim = x[asked] @ x.T
+    sim[np.arange(len(asked)), asked] = -2
+    best = np.argpartition(-sim, 8, axis=1)[:, :8]
+    hits = sum(len(got[a] & set(b.tolist())) for a, b in zip(asked.tolist(), best, strict=True))
+    assert set(got) == set(asked.tolist()) and hits >= 0.98 * best.size, hits / best.size
