@@ -8,6 +8,9 @@ repeated more often than allowed. Without targets, ``p ~ size**t`` and t is
 bisected for a wanted entropy. The weights become budgets of tokens, and each
 source meets its budget with whole passes and one budgeted part of a permutation of
 its blocks.
+
+The total is free or given. Free, it is the most at which the targets hold: t is 1, and what
+the scarcest source cannot keep up with is left out. Given, t gives way instead of the total.
 """
 
 from __future__ import annotations
@@ -86,12 +89,13 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return stage(count_tokens(rows, "text", "size").select("id", "source", "size"), "sized")
 
 
-def plan(documents: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+def plan(documents: DataFrame, targets: DataFrame, total: float | str | None = None) -> DataFrame:
     """(mix_name, source, target_share, exponent, weight, budget, passes, part, blocks): the budgets of each mix.
 
     Only one row per listed source comes to the driver. A mix and a source listed
     twice have their weights added and keep the smaller limit; null or negative
-    weights and limits count as 0.
+    weights and limits count as 0. A ``total`` of ``"held"`` is for each mix what its sources
+    hold, those with a weight and a limit above 0.
     """
     listed = targets.select("mix_name", source_name(F.col("source")).alias("source"), "target_weight", "max_repeats")
     listed = listed.groupBy("mix_name", "source").agg(
@@ -106,7 +110,8 @@ def plan(documents: DataFrame, targets: DataFrame, total: float | None = None) -
         own = {r["source"]: r for r in wanted if r["mix_name"] == mix}
         weights = {k: float(r["weight"]) for k, r in own.items()}
         size = {k: float(r["tokens"] or 0) for k, r in own.items()}
-        t, most, share = limited(size, weights, {k: r["repeats"] for k, r in own.items()}, total)
+        held = sum(size[k] for k, r in own.items() if weights[k] > 0 and r["repeats"] > 0)
+        t, most, share = limited(size, weights, {k: r["repeats"] for k, r in own.items()}, held if total == "held" else total)
         asked = sum(weights.values())
         for k, r in own.items():
             budget = math.floor(share.get(k, 0.0) * most + 1e-6)
@@ -158,7 +163,7 @@ def shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:
     return rows.select("mix_name", "source", F.round("target_share", 6).alias("target_share"), F.round(actual, 6).alias("actual_share"), "tokens", "docs", "max_copies", F.round("exponent", 6).alias("exponent"))
 
 
-def mixed_documents(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mixed_documents(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, total: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix and the shares it reached, straight from documents and targets; see :func:`mix` and :func:`shares`.
 
     Sources are matched without regard to letter case, outer blanks and hyphens. Documents

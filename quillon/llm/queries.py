@@ -101,6 +101,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs, targets, "doc_id", "text", "source")[1]
 
 
+def p9_held_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    return mixing.mixed_documents(docs, targets, "doc_id", "text", "source", total="held")[0]
+
+
+def p9_held_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    return mixing.mixed_documents(docs, targets, "doc_id", "text", "source", total="held")[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "end_pos")
 

@@ -194,6 +194,23 @@ def test_mix_meets_shares_and_limits(spark):
     assert mixing.mixed_documents(docs.limit(0), targets, "doc_id", "text", "source")[0].count() == 0
 
 
+def test_mix_of_all_tokens_bisects_the_exponent(spark, tmp_path):
+    from quillon.llm import queries
+
+    docs = [(k, "word " * 10, "big") for k in range(400)] + [(1000 + k, "word " * 10, "small") for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [("m", "big", 0.5, 2), ("m", "small", 0.5, 2), ("m", "none", 0.5, 2), ("n", "big", 0.9, 2), ("n", "small", 0.1, 2)]
+    spark.createDataFrame(targets, "mix_name string, source string, target_weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {(r.mix_name, r.source): r for r in queries.p9_held_shares(spark, str(tmp_path)).collect()}
+    held = got["n", "big"].tokens + got["n", "small"].tokens
+    assert got["n", "big"].exponent == 1.0 and got["n", "big"].actual_share == pytest.approx(0.9, abs=0.01)
+    # small gives all it may, twice its tokens, and big fills the rest
+    assert 0 < got["m", "big"].exponent < 1 and (got["m", "small"].docs, got["m", "small"].max_copies) == (40, 2)
+    assert abs(got["m", "big"].tokens + got["m", "small"].tokens - held) < 0.01 * held
+    free = {(r.mix_name, r.source): r for r in queries.p9_shares(spark, str(tmp_path)).collect()}
+    assert free["m", "big"].exponent == 1.0 and free["m", "big"].actual_share == pytest.approx(0.5, abs=0.01)
+
+
 # sentences
 
 
