@@ -127,26 +127,56 @@ def mix(documents: DataFrame, planned: DataFrame, seed: int = 17) -> DataFrame:
     """(mix_name, source, id, size, copies): how often each document is taken, those taken at all.
 
     Every source is permuted by a hash: documents into blocks, blocks by number. The
-    part of a pass takes whole blocks while the budget lasts and then, inside the block in
-    which it ends, single documents; so no source is ever sorted as a whole.
+    part of a pass takes documents in this order, leaving out each that does not fit what is left of
+    its budget; see :func:`_stretches`. No source is ever sorted as a whole.
     """
     used = planned.filter("passes > 0 or part > 0").select("mix_name", "source", "passes", "part", "blocks")
     rows = documents.join(used, "source")
     chance = F.xxhash64("mix_name", "source", "id", F.lit(seed))
-    rows = rows.withColumn("chance", chance).withColumn("block", F.pmod("chance", F.col("blocks")))
-    sums = rows.groupBy("mix_name", "source", "block").agg(F.sum("size").alias("held"))
-    ahead = Window.partitionBy("mix_name", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("held").over(ahead), F.lit(0)))
-    placed = rows.join(sums, ["mix_name", "source", "block"])
-    whole = placed.filter("before + held <= part").withColumn("extra", F.lit(1))
-    within = Window.partitionBy("mix_name", "source", "block").orderBy("chance", "id")
-    cut = placed.filter("before + held > part and before < part")
-    cut = cut.withColumn("extra", (F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("part")).cast("int"))
-    rest = placed.filter("before + held > part and before >= part").withColumn("extra", F.lit(0))
-    every = whole.unionByName(cut).unionByName(rest).withColumn("copies", F.col("passes") + F.col("extra"))
+    rows = rows.withColumn("chance", chance).withColumn("at", F.struct(F.pmod("chance", F.col("blocks")).alias("block"), "chance", "id"))
+    stretches = _stretches(rows, used)
+    taken = F.exists("stretches", lambda s: (F.col("size") <= s["room"]) & (s["after"].isNull() | (F.col("at") > s["after"])) & (s["until"].isNull() | (F.col("at") < s["until"])))
+    every = rows.join(F.broadcast(stretches), ["mix_name", "source"], "left")
+    every = every.withColumn("copies", F.col("passes") + F.coalesce(taken, F.lit(False)).cast("int"))
     return every.filter("copies > 0").select("mix_name", "source", "id", "size", "copies")
 
 
+def _stretches(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """(mix_name, source, stretches): between ``after`` and ``until`` the part takes all documents of at most ``room`` tokens.
+
+    A stretch ends at the first document that would fit by itself but not behind those before it;
+    the next has the budget that is left. In a stretch whole blocks are added up, and single
+    documents only in the block in which it ends. Rounds end when nothing more is in the way. The driver
+    sees a row per listed source and round.
+    """
+    spark, key = rows.sparkSession, ["mix_name", "source"]
+    place = rows.schema["at"].dataType.simpleString()
+    room = {(r["mix_name"], r["source"]): r["part"] for r in used.filter("part > 0").select(*key, "part").collect()}
+    after = dict.fromkeys(room)
+    open_, found = set(room), {k: [] for k in room}
+    while open_:
+        bounds = spark.createDataFrame([(*k, room[k], after[k]) for k in open_], f"mix_name string, source string, room long, after {place}")
+        fit = rows.join(F.broadcast(bounds), key).filter("size <= room and (after is null or at > after)")
+        sums = fit.groupBy(*key, "room", F.col("at.block").alias("block")).agg(F.sum("size").alias("held"))
+        ahead = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.coalesce(F.sum("held").over(ahead), F.lit(0))).filter("before <= room and before + held > room")
+        last = fit.withColumn("block", F.col("at.block")).join(F.broadcast(sums.select(*key, "block", "before")), [*key, "block"])
+        # documents at one place, the same id twice, are taken or left together
+        run = F.col("before") + F.sum("size").over(Window.partitionBy(*key).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ends = last.withColumn("run", run).groupBy(*key).agg(
+            F.min(F.when(F.col("run") > F.col("room"), F.col("at"))).alias("until"),
+            F.coalesce(F.max(F.when(F.col("run") <= F.col("room"), F.col("run"))), F.first("before")).alias("taken"),
+        )
+        ended = {(r["mix_name"], r["source"]): r for r in ends.collect()}
+        for k in open_:
+            until = ended[k]["until"] if k in ended else None
+            found[k].append((room[k], after[k], until))
+            if k in ended:
+                room[k], after[k] = room[k] - ended[k]["taken"], until
+        open_ = {k for k in open_ if k in ended and room[k] > 0}
+    return spark.createDataFrame([(*k, v) for k, v in found.items()], f"mix_name string, source string, stretches array<struct<room:bigint,after:{place},until:{place}>>")
+
+
 def shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:
     """(mix_name, source, target_share, actual_share, tokens, docs, max_copies, exponent): what each mix reached.
 

@@ -211,6 +211,20 @@ def test_mix_of_all_tokens_bisects_the_exponent(spark, tmp_path):
     assert free["m", "big"].exponent == 1.0 and free["m", "big"].actual_share == pytest.approx(0.5, abs=0.01)
 
 
+def test_part_goes_on_past_a_document_that_does_not_fit(spark):
+    sizes = [(k, "a", 10) for k in range(600)] + [(900, "a", 3000), (901, "a", 95), (902, "a", 7)]
+    documents = spark.createDataFrame(sizes, "id long, source string, size long")
+    names = [f"m{k}" for k in range(6)]
+    targets = spark.createDataFrame([(m, "a", 1.0, 1) for m in names], "mix_name string, source string, target_weight double, max_repeats int")
+    planned = mixing.plan(documents, targets, total=5000)
+    taken = collections.defaultdict(list)
+    for r in mixing.mix(documents, planned).collect():
+        assert r.copies == 1
+        taken[r.mix_name].append(r.size)
+    # documents of 10 are left over everywhere, so less than 10 is missing
+    assert {m: 4990 < sum(taken[m]) <= 5000 for m in names} == dict.fromkeys(names, True)
+
+
 # sentences
 
 
