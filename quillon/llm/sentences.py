@@ -196,15 +196,15 @@ def _line_breaks(line: str) -> Iterator[int]:
         closing = [closed[b] for b in range(mark_at + 1, at) if b in closed]
         if closing and all(c in _BRACKETS for _, c in closing) and line[start : closing[-1][0]].strip(BLANKS):
             continue  # in brackets within a sentence
-        before, after = line[max(0, at - 48) : at], line[at : at + 48]
+        before = line[max(0, mark_at - 48) : at]
         for rule in _RULES:
-            if rule.after.match(after) and rule.before.search(before):
+            if rule.after.match(line, at) and rule.before.search(before):
                 breaks = rule.breaks
                 break
         else:
             # a small letter goes on, unless the writer starts sentences with small letters
             first = _FIRST_LETTER.search(line, start, at)
-            breaks = bool(first and first[0].islower() and _LOWER_NEXT.match(after) and not _SINGLE.search(before))
+            breaks = bool(first and first[0].islower() and _LOWER_NEXT.match(line, at) and not _SINGLE.search(before))
         if breaks:
             found.append(at)
             start = at

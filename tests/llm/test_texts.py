@@ -262,6 +262,12 @@ def test_sentences(text, want):
     assert _split(text) == want
 
 
+@pytest.mark.parametrize("n", [1, 47, 48, 500])
+def test_runs_of_blanks_and_closing_signs_of_any_length(n):
+    assert _split("She left." + " " * n + "He stayed.") == ["She left.", "He stayed."]
+    assert _split("She left." + ")" * n + " He stayed.") == ["She left." + ")" * n, "He stayed."]
+
+
 def test_sentence_rows_have_positions(spark):
     texts = [c[0] for c in CASES] + [None, CASES[0][0], "One. " * 40000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("_text", F.lit("z"))
