@@ -87,6 +87,14 @@ def test_scores_equal_the_formula(spark):
     assert distinctive.score_terms(df.limit(0), "id", ["a", "b"]).count() == 0
 
 
+def test_found_terms_need_no_score(spark, tmp_path):
+    from quillon.llm import queries
+
+    songs = [(1, "t", "filler " * 20000 + "rare rare rare"), (2, "t", "rare " * 1000), (3, "t", "filler")]
+    spark.createDataFrame(songs, "row_id long, track_name string, lyrics string").write.parquet(f"{tmp_path}/spotify_songs.parquet")
+    assert {(1, "rare"), (2, "rare")} <= set(rows(queries.p2_found(spark, str(tmp_path))))
+
+
 # languages
 
 WORDS = {
