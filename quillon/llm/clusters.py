@@ -4,7 +4,7 @@ Rows are ordered by a hash of their ids. In the first round each list of a coars
 settles by itself: a row with no similar row of lower hash is a local minimum and
 becomes a pivot, pivots absorb the rows similar to them, and so on. Pivots stay open.
 In each later round the open rows meet in lists of an index fitted on them alone, several
-lists a row; whose lowest similar row is a pivot is absorbed by it. Rounds end when
+lists a row and every block of a list with every other; whose lowest similar row is a pivot is absorbed by it. Rounds end when
 nothing is absorbed. Members then go to the closest pivot, and medoids are taken anew.
 """
 
@@ -18,12 +18,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import vectors as V
-from quillon.llm.neighbours import search
+from quillon.llm.neighbours import widened
 from quillon.runtime import stage
 
 
-def _cells(index: V.Index, probes: int, salt: int):
-    """(cell, grp, id, vec): each row once in each of its closest lists, in one block of it."""
+def _cells(index: V.Index, probes: int, salt: int, paired: bool = False):
+    """(cell, grp, id, vec): each row once in each of its closest lists, in one block of it.
+
+    ``paired``, a cell is two blocks of a list, and each row is in all cells of its block, so that every row of a list meets every other.
+    """
+    pairs = np.maximum(1, index.blocks * (index.blocks - 1) // 2)
+    first_pair = np.cumsum(pairs) - pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, ids, x in V.by_group(batches):
@@ -32,7 +37,16 @@ def _cells(index: V.Index, probes: int, salt: int):
                 lists = index.nearest(g, part, probes)
                 at = np.repeat(np.arange(len(own)), lists.shape[1])
                 lists = lists.reshape(-1)
-                cell = index.cells[lists] + (V.mixed(own[at], salt) % index.blocks[lists].astype(np.uint64)).astype(np.int64)
+                block = (V.mixed(own[at], salt) % index.blocks[lists].astype(np.uint64)).astype(np.int64)
+                if paired:
+                    many = np.maximum(1, index.blocks[lists] - 1)
+                    other = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    at, lists, block = np.repeat(at, many), np.repeat(lists, many), np.repeat(block, many)
+                    other += other >= block  # a list of one block has the cell of blocks 0 and 1
+                    low, high = np.minimum(block, other), np.maximum(block, other)
+                    cell = first_pair[lists] + high * (high - 1) // 2 + low
+                else:
+                    cell = index.cells[lists] + block
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell), pa.array([g] * len(at), pa.string()), pa.array(own[at]), V.as_binary(part[at].astype(np.float16))],
                     ["cell", "grp", "id", "vec"],
@@ -64,7 +78,7 @@ def _lowest(threshold: float, salt: int, chunk: int = 512):
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(group, ids, matrix) of each cell of a partition sorted by cell; a cell holds one block at most."""
+    """(group, ids, matrix) of each cell of a partition sorted by cell; a cell holds two blocks at most."""
     cell, held, grp = None, [], ""
     for batch in batches:
         cells = batch.column("cell").to_numpy()
@@ -128,7 +142,7 @@ def assign(rows: DataFrame, *, threshold: float, probes: int, sample: int, block
     while True:
         salt = seed + len(rounds)
         index = V.fit_index(open_rows, sample=sample, block=block, probes=probes, seed=salt)
-        placed = open_rows.mapInArrow(_cells(index, probes, salt), cells).repartition("cell").sortWithinPartitions("cell")
+        placed = open_rows.mapInArrow(_cells(index, probes, salt, paired=True), cells).repartition("cell").sortWithinPartitions("cell")
         seen = placed.mapInArrow(_lowest(threshold, seed), "id long, low long, rank long")
         lower = stage(seen.groupBy("id").agg(F.min(F.struct("rank", "low")).alias("m")).select("id", F.col("m.low").alias("low")), "lowest")
         # absorbed: the lowest has no lower one itself
@@ -164,7 +178,8 @@ def clusters(
 ) -> tuple[DataFrame, DataFrame]:
     """Vectors (id, grp, vec) and members (id, grp, pivot, size) of the clusters of at least ``min_size`` rows.
 
-    Unusable rows and rows similar to no other are in no cluster. Rows with equal
+    Unusable rows and rows similar to no pivot are in no cluster; every other row but the pivots goes to the
+    closest pivot, absorbed in a round or not. Rows with equal
     vectors are rows of their own. An empty table gives no rows. Ids are taken to
     be unique across the groups.
     """
@@ -173,9 +188,11 @@ def clusters(
     heads = joined.select(F.col("pivot").alias("id")).distinct()
     pivots = stage(rows.join(heads, "id", "left_semi"), "heads")
     index = V.fit_index(pivots, sample=sample, block=block)
-    close = search(pivots, rows, index, k=1, probes=2, min_cosine=threshold)
-    moved = joined.join(close.select(F.col("a").alias("id"), F.col("b").alias("near")), "id", "left")
-    # a pivot stays with its own cluster; a member whose closest pivot the lists did not show stays where it was
+    asking = rows.join(heads, "id", "left_anti")
+    close = widened(pivots, asking, index, k=1, probes=probes, block=block, min_cosine=threshold)
+    close = close.select(F.col("a").alias("id"), F.col("b").alias("near"))
+    moved = joined.join(heads, "id", "left_anti").join(close, "id", "full")
+    # a pivot stays with its own cluster; a member of which the scan lost every pivot stays where it was
     labels = moved.select("id", F.coalesce("near", "pivot").alias("pivot")).unionByName(pivots.select("id", F.col("id").alias("pivot")))
     labels = stage(labels, "labels")
     size = labels.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster_id")).filter(F.col("size") >= min_size)

@@ -129,20 +129,21 @@ def search(
     return _best(near, k)
 
 
-def widened(base: DataFrame, queries: DataFrame, index: V.Index, *, k: int, probes: int, block: int, eps: float = 2.1, salt: int = 0) -> DataFrame:
+def widened(base: DataFrame, queries: DataFrame, index: V.Index, *, k: int, probes: int, block: int, min_cosine: float | None = None, eps: float = 2.1, salt: int = 0) -> DataFrame:
     """(a, b, cosine) as :func:`search`, over all lists that can matter.
 
     The k-th cosine in the ``probes`` closest lists bounds a second search, which visits every list
-    that the bound does not rule out; a row that saw fewer than k visits all.
+    that the bound does not rule out; a row that saw fewer than k is bounded by ``min_cosine`` alone.
     """
-    seen = search(base, queries, index, k=k, probes=probes, eps=eps, salt=salt).groupBy(F.col("a").alias("id"))
+    seen = search(base, queries, index, k=k, probes=probes, min_cosine=min_cosine, eps=eps, salt=salt).groupBy(F.col("a").alias("id"))
     least = seen.agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).alias("least"))
-    asked = queries.select("id", "grp", "vec").join(least, "id", "left").select("id", "grp", "vec", F.coalesce("least", F.lit(-1.0).cast("float")).alias("least"))
+    asked = queries.select("id", "grp", "vec").join(least, "id", "left").select("id", "grp", "vec", F.coalesce("least", F.lit(-1.0 if min_cosine is None else min_cosine).cast("float")).alias("least"))
     index = V.with_reach(base, index, block=block)
     schema = "cell long, role int, id long, vec binary"
     held = base.select("id", "grp", "vec").mapInArrow(_placer(index, 1, 0, salt), schema).withColumn("least", F.lit(None).cast("float"))
     rows = held.union(asked.mapInArrow(_widener(index), schema + ", least float")).repartition("cell").sortWithinPartitions("cell", "role")
-    return _best(rows.mapInArrow(_scanner(k, None, eps), "a long, b long, cosine float"), k)
+    near = rows.mapInArrow(_scanner(k, None, eps), "a long, b long, cosine float")
+    return _best(near if min_cosine is None else near.filter(F.col("cosine") >= F.lit(min_cosine).cast("float")), k)
 
 
 def _best(near: DataFrame, k: int) -> DataFrame:

@@ -244,3 +244,26 @@ def test_nearest_of_many_lists_are_found(spark, tmp_path):
     best = np.argpartition(-sim, 8, axis=1)[:, :8]
     hits = sum(len(got[a] & set(b.tolist())) for a, b in zip(asked.tolist(), best, strict=True))
     assert set(got) == set(asked.tolist()) and hits >= 0.98 * best.size, hits / best.size
+
+
+def test_rows_of_different_blocks_meet(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((30, 32))
+    data = [(k, "image", (centres[k % 30] + 0.05 * rng.standard_normal(32)).tolist()) for k in range(90)]
+    df = spark.createDataFrame(data, "vec_id long, medium string, feature array<float>")
+    _, members = clusters.clusters(df, *ARGS, threshold=0.9, min_size=3, block=2)
+    assert {r.id: r.cluster_id for r in members.collect()} == {k: k % 30 for k in range(90)}
+
+
+def test_members_go_to_the_closest_pivot(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, "audio", v.tolist()) for k, v in enumerate(x)], "vec_id long, medium string, feature array<float>")
+    _, members = clusters.clusters(df, *ARGS, threshold=0.6, min_size=1)
+    pivot = {r.id: r.pivot for r in members.collect()}
+    heads = np.array(sorted(set(pivot.values()) | {i for i, p in pivot.items() if i == p}))
+    sim = x @ x[heads].T
+    rest = [k for k in range(3000) if k not in set(heads.tolist()) and sim[k].max() >= 0.61]
+    right = sum(k in pivot and x[k] @ x[pivot[k]] >= sim[k].max() - 0.002 for k in rest)
+    assert len(rest) > 500 and right >= 0.99 * len(rest), right / len(rest)
