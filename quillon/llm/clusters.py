@@ -3,8 +3,8 @@
 Rows are ordered by a hash of their ids. In the first round each list of a coarse index
 settles by itself: a row with no similar row of lower hash is a local minimum and
 becomes a pivot, pivots absorb the rows similar to them, and so on. Pivots stay open.
-In each later round the open rows meet in lists of an index fitted on them alone, several
-lists a row and every block of a list with every other; whose lowest similar row is a pivot is absorbed by it. Rounds end when
+In each later round the open rows meet in lists of an index fitted on them alone, as many
+lists a row as a measured sample asks for and every block of a list with every other; whose lowest similar row is a pivot is absorbed by it. Rounds end when
 nothing is absorbed. Members then go to the closest pivot, and medoids are taken anew.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import vectors as V
-from quillon.llm.neighbours import widened
+from quillon.llm.neighbours import measured, search
 from quillon.runtime import stage
 
 
@@ -135,14 +135,19 @@ def assign(rows: DataFrame, *, threshold: float, probes: int, sample: int, block
     """(id, pivot) of every row of (id, grp, vec) that another row's pivot absorbed; staged."""
     cells = "cell long, grp string, id long, vec binary"
     index = V.fit_index(rows, sample=sample, block=block, seed=seed)
-    placed = rows.mapInArrow(_cells(index, 1, seed), cells).repartition("cell").sortWithinPartitions("cell")
+    placed = V.by_cell(rows.mapInArrow(_cells(index, 1, seed), cells), float(index.held.sum()))
     first = stage(placed.mapInArrow(_settled(threshold, seed), "id long, grp string, pivot long, vec binary"), "settled")
     rounds = [first.filter("pivot is not null").select("id", "pivot")]
     open_rows = first.filter("pivot is null").select("id", "grp", "vec")
+    wanted = None
     while True:
         salt = seed + len(rounds)
-        index = V.fit_index(open_rows, sample=sample, block=block, probes=probes, seed=salt)
-        placed = open_rows.mapInArrow(_cells(index, probes, salt, paired=True), cells).repartition("cell").sortWithinPartitions("cell")
+        if wanted is None:  # as many lists as it takes for similar open rows to meet, the same in all rounds
+            index = V.fit_index(open_rows, sample=sample, block=block, seed=salt)
+            wanted = max(measured(open_rows, open_rows, index, k=8, recall=0.99, least=probes, min_cosine=threshold).values(), default=probes)
+        index = V.fit_index(open_rows, sample=sample, block=block, probes=wanted, seed=salt)
+        copies = float((index.held * np.maximum(1, index.blocks - 1)).sum())
+        placed = V.by_cell(open_rows.mapInArrow(_cells(index, wanted, salt, paired=True), cells), copies)
         seen = placed.mapInArrow(_lowest(threshold, seed), "id long, low long, rank long")
         lower = stage(seen.groupBy("id").agg(F.min(F.struct("rank", "low")).alias("m")).select("id", F.col("m.low").alias("low")), "lowest")
         # absorbed: the lowest has no lower one itself
@@ -189,7 +194,8 @@ def clusters(
     pivots = stage(rows.join(heads, "id", "left_semi"), "heads")
     index = V.fit_index(pivots, sample=sample, block=block)
     asking = rows.join(heads, "id", "left_anti")
-    close = widened(pivots, asking, index, k=1, probes=probes, block=block, min_cosine=threshold)
+    wanted = measured(pivots, asking, index, k=1, recall=0.995, least=2, min_cosine=threshold)
+    close = search(pivots, asking, index, k=1, probes=wanted, min_cosine=threshold)
     close = close.select(F.col("a").alias("id"), F.col("b").alias("near"))
     moved = joined.join(heads, "id", "left_anti").join(close, "id", "full")
     # a pivot stays with its own cluster; a member of which the scan lost every pivot stays where it was

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,60 +19,29 @@ from quillon.runtime import stage
 BROADCAST_IDS = 500_000
 
 
-def _placer(index: V.Index, probes: int, role: int, salt: int):
-    """(cell, role, id, vec) of each row: role 0 once, in its closest list; role 1 in all blocks of its probed lists."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, ids, x in V.by_group(batches):
-            half = x.astype(np.float16)
-            for a in range(0, len(ids), 2048):
-                lists = index.nearest(g, x[a : a + 2048], probes if role else 1)
-                at = np.repeat(np.arange(a, a + len(lists)), lists.shape[1])
-                lists = lists.reshape(-1)
-                if role:
-                    many = index.blocks[lists]
-                    start = np.cumsum(many) - many
-                    block = np.arange(many.sum()) - np.repeat(start, many)
-                    at, cell = np.repeat(at, many), np.repeat(index.cells[lists], many) + block
-                else:
-                    cell = index.cells[lists] + (V.mixed(ids[at], salt) % index.blocks[lists].astype(np.uint64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(np.full(len(at), role, np.int32)), pa.array(ids[at]), V.as_binary(half[at])],
-                    ["cell", "role", "id", "vec"],
-                )
-
-    return run
-
-
-def _widener(index: V.Index, part: int = 1 << 16):
-    """(cell, role, id, vec, least) of each row (id, grp, vec, least), role 1: in every cell that can hold a row of a cosine of ``least`` or more.
-
-    By the triangle inequality no row of a list is closer than the angle to its centroid less the list's reach.
-    """
+def _placer(index: V.Index, probes: int | Mapping[str, int], role: int, salt: int, part: int = 1 << 16):
+    """(cell, role, id, vec, least) of each row: role 0 once, in its closest list; role 1 once in every cell of its probed lists."""
     cells = int((index.cells + index.blocks).max(initial=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group = batch.column("grp").to_numpy(zero_copy_only=False)
-            for g in set(group.tolist()):
-                mine = batch.take(pa.array(np.flatnonzero(group == g)))
-                ids, least = mine.column("id").to_numpy(), mine.column("least").to_numpy()
-                x = V.as_matrix(mine.column("vec"))
-                half, unit = x.astype(np.float16), x / np.linalg.norm(x, axis=1, keepdims=True)
-                first, c = index.first[g], index.centroids[g]
+            for g, mine in V.of_group(batch):
+                ids, x, least = mine.column("id").to_numpy(), V.as_matrix(mine.column("vec")), mine.column("least")
+                half, wanted = x.astype(np.float16), probes if isinstance(probes, int) else probes[g]
                 for a in range(0, len(ids), 2048):
-                    angle = np.arccos(np.clip(unit[a : a + 2048] @ c.T, -1, 1)) - index.reach[first : first + len(c)]
-                    # the margin covers half precision
-                    wide = np.arccos(np.clip(least[a : a + 2048] - 0.002, -1, 1)) + 0.002
-                    at, lists = np.nonzero(angle <= wide[:, None])
-                    lists = lists + first
-                    many = index.blocks[lists]
-                    block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    key = np.unique(np.repeat(at, many) * cells + np.repeat(index.cells[lists], many) + block)
-                    for b in range(0, len(key), part):
-                        at, cell = key[b : b + part] // cells + a, key[b : b + part] % cells
+                    lists = index.nearest(g, x[a : a + 2048], wanted if role else 1)
+                    at, lists = np.repeat(np.arange(a, a + len(lists)), lists.shape[1]), lists.reshape(-1)
+                    if role:
+                        many = index.blocks[lists]
+                        block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        key = np.unique(np.repeat(at, many) * cells + np.repeat(index.cells[lists], many) + block)
+                        at, cell = np.divmod(key, cells)
+                    else:
+                        cell = index.cells[lists] + (V.mixed(ids[at], salt) % index.blocks[lists].astype(np.uint64)).astype(np.int64)
+                    for b in range(0, len(at), part):
+                        i, to = at[b : b + part], cell[b : b + part]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(cell), pa.array(np.ones(len(at), np.int32)), pa.array(ids[at]), V.as_binary(half[at]), pa.array(least[at])],
+                            [pa.array(to), pa.array(np.full(len(i), role, np.int32)), pa.array(ids[i]), V.as_binary(half[i]), least.take(pa.array(i))],
                             ["cell", "role", "id", "vec", "least"],
                         )
 
@@ -78,9 +49,9 @@ def _widener(index: V.Index, part: int = 1 << 16):
 
 
 def _scanner(k: int, min_cosine: float | None, eps: float, chunk: int = 512):
-    """Best k of a cell's rows for each query that probes it."""
+    """Best k of a cell's rows for each query that probes it; ``least`` is the k-th cosine it has seen elsewhere, null if unknown."""
 
-    def step(ids: np.ndarray, column: pa.Array, kept: list, least: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def step(ids: np.ndarray, column: pa.Array, kept: list, least: np.ndarray) -> Iterator[pa.RecordBatch]:
         base_ids = np.concatenate([i for i, _ in kept])
         base = np.concatenate([x if isinstance(x, np.ndarray) else V.as_matrix(x) for _, x in kept])
         kept[:] = [(base_ids, base)]
@@ -91,7 +62,7 @@ def _scanner(k: int, min_cosine: float | None, eps: float, chunk: int = 512):
             if min_cosine is not None:
                 bound = np.full(len(q), 2 - 2 * min_cosine, np.float32)
             else:
-                bound = np.full(len(q), 4.1, np.float32) if least is None else 2 - 2 * least[a : a + chunk] + np.float32(1e-3)
+                bound = np.nan_to_num(2 - 2 * least[a : a + chunk].astype(np.float32) + np.float32(1e-3), nan=4.1)
             if min_cosine is None and len(base) > 8 * (k + 1):
                 head = q @ base[: 8 * (k + 1)].T
                 bound = np.minimum(bound, 2 - 2 * -np.partition(-head, k, axis=1)[:, k] + 1e-3)
@@ -106,44 +77,92 @@ def _scanner(k: int, min_cosine: float | None, eps: float, chunk: int = 512):
     return lambda batches: V.cells_of(batches, step)
 
 
+def _copies(index: V.Index, rows: int, probes: int | Mapping[str, int]) -> float:
+    """About how many vectors a search of so many rows sends to cells."""
+    lists = max(1, len(index.cells))
+    most = max(probes.values(), default=1) if isinstance(probes, Mapping) else probes
+    return float(index.held.sum()) + rows * min(most, lists) * len(np.unique(index.cells)) / lists
+
+
 def search(
     base: DataFrame,
     queries: DataFrame,
     index: V.Index,
     *,
     k: int,
-    probes: int,
+    probes: int | Mapping[str, int],
     min_cosine: float | None = None,
     eps: float = 2.1,
     salt: int = 0,
+    bounded: int = 0,
 ) -> DataFrame:
     """(a, b, cosine): of each query a the k rows b of highest cosine in its ``probes`` closest lists.
 
-    Both inputs are (id, grp, vec) as :func:`vectors.prepared` gives them. Ties go to the smaller id; a row is not its own neighbour.
+    Both inputs are (id, grp, vec) as :func:`vectors.prepared` gives them. Ties go to the smaller id; a row is not its own
+    neighbour. With ``bounded``, so many of the closest lists are searched first, and their k-th cosine is the bound beyond which candidates
+    are abandoned in all others.
     """
-    schema = "cell long, role int, id long, vec binary"
-    held = base.select("id", "grp", "vec").mapInArrow(_placer(index, 1, 0, salt), schema)
-    asked = queries.select("id", "grp", "vec").mapInArrow(_placer(index, probes, 1, salt), schema)
-    rows = held.union(asked).repartition("cell").sortWithinPartitions("cell", "role")
+    schema = "cell long, role int, id long, vec binary, least float"
+    own = base.select("id", "grp", "vec", F.lit(None).cast("float").alias("least"))
+    asked = queries.select("id", "grp", "vec", F.lit(None).cast("float").alias("least"))
+    n = queries.count()
+    if bounded:
+        seen = search(base, queries, index, k=k, probes=bounded, min_cosine=min_cosine, eps=eps, salt=salt).groupBy(F.col("a").alias("id"))
+        least = seen.agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).alias("least"))
+        asked = asked.drop("least").join(least, "id", "left").select("id", "grp", "vec", "least")
+    held = own.mapInArrow(_placer(index, 1, 0, salt), schema)
+    rows = V.by_cell(held.union(asked.mapInArrow(_placer(index, probes, 1, salt), schema)), _copies(index, n, probes), "role")
     near = rows.mapInArrow(_scanner(k, min_cosine, eps), "a long, b long, cosine float")
     return _best(near, k)
 
 
-def widened(base: DataFrame, queries: DataFrame, index: V.Index, *, k: int, probes: int, block: int, min_cosine: float | None = None, eps: float = 2.1, salt: int = 0) -> DataFrame:
-    """(a, b, cosine) as :func:`search`, over all lists that can matter.
+def measured(
+    base: DataFrame, queries: DataFrame, index: V.Index, *, k: int, recall: float, least: int = 4, min_cosine: float | None = None, asked: int = 256, seed: int = 23
+) -> dict[str, int]:
+    """How many of the closest lists each group's queries must probe for a recall of ``recall``.
 
-    The k-th cosine in the ``probes`` closest lists bounds a second search, which visits every list
-    that the bound does not rule out; a row that saw fewer than k is bounded by ``min_cosine`` alone.
+    ``asked`` queries a group, those of the lowest hashes, are compared with all rows; counted is how many lists are
+    closer to the query than the one that holds each of its k neighbours. At least ``least`` lists; with ``min_cosine`` only
+    neighbours that similar count. The driver sees these queries and a list number per neighbour.
     """
-    seen = search(base, queries, index, k=k, probes=probes, min_cosine=min_cosine, eps=eps, salt=salt).groupBy(F.col("a").alias("id"))
-    least = seen.agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).alias("least"))
-    asked = queries.select("id", "grp", "vec").join(least, "id", "left").select("id", "grp", "vec", F.coalesce("least", F.lit(-1.0 if min_cosine is None else min_cosine).cast("float")).alias("least"))
-    index = V.with_reach(base, index, block=block)
-    schema = "cell long, role int, id long, vec binary"
-    held = base.select("id", "grp", "vec").mapInArrow(_placer(index, 1, 0, salt), schema).withColumn("least", F.lit(None).cast("float"))
-    rows = held.union(asked.mapInArrow(_widener(index), schema + ", least float")).repartition("cell").sortWithinPartitions("cell", "role")
-    near = rows.mapInArrow(_scanner(k, None, eps), "a long, b long, cosine float")
-    return _best(near if min_cosine is None else near.filter(F.col("cosine") >= F.lit(min_cosine).cast("float")), k)
+    lowest = Window.partitionBy("grp").orderBy("h", "id")
+    some = queries.select("id", "grp", "vec", F.xxhash64("id", F.lit(seed)).alias("h")).withColumn("r", F.row_number().over(lowest)).filter(F.col("r") <= asked)
+    sample = some.select("id", "grp", "vec").toArrow().combine_chunks()
+    asking = {g: (t.column("id").to_numpy(), V.as_matrix(t.column("vec"))) for b in sample.to_batches() for g, t in V.of_group(b)}
+    names = sorted(asking)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for g, ids, x in V.by_group(batches):
+            if g not in asking:
+                continue
+            own, q = asking[g]
+            for a in range(0, len(ids), 4096):
+                score = q @ x[a : a + 4096].T
+                score[own[:, None] == ids[None, a : a + 4096]] = -9
+                lists = np.broadcast_to(index.nearest(g, x[a : a + 4096], 1)[:, 0], score.shape)
+                if g in best:
+                    score, lists = np.concatenate([best[g][0], score], 1), np.concatenate([best[g][1], lists], 1)
+                top = V._top(score, min(k, score.shape[1]))
+                best[g] = np.take_along_axis(score, top, 1), np.take_along_axis(lists, top, 1)
+        for g, (score, lists) in best.items():
+            i, j = np.nonzero(score >= (-2 if min_cosine is None else min_cosine))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(i), names.index(g))), pa.array(i), pa.array(lists[i, j]), pa.array(score[i, j])], ["g", "q", "list", "cosine"]
+            )
+
+    near = base.select("id", "grp", "vec").mapInArrow(exact, "g long, q long, list long, cosine float")
+    order = Window.partitionBy("g", "q").orderBy(F.col("cosine").desc(), "list")
+    near = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("g", "q", "list").toArrow()
+    out = dict.fromkeys(index.centroids, least)
+    for n, g in enumerate(names):
+        mine = near.filter(pa.compute.equal(near.column("g"), n))
+        q, lists = mine.column("q").to_numpy(), mine.column("list").to_numpy() - index.first[g]
+        score = asking[g][1] @ index.centroids[g].T
+        rank = np.sort((score[q] > score[q, lists][:, None]).sum(1))
+        if len(rank):
+            out[g] = max(least, int(rank[math.ceil(recall * len(rank)) - 1]) + 1)
+    return out
 
 
 def _best(near: DataFrame, k: int) -> DataFrame:
@@ -159,9 +178,9 @@ def nearest(
     lengths: Mapping[str, int],
     *,
     k: int = 8,
-    probes: int = 4,
+    probes: int | None = None,
+    recall: float = 0.98,
     min_cosine: float | None = None,
-    widen: bool = False,
     query_filter: str | None = None,
     sample: int = 65536,
     block: int = 4096,
@@ -171,8 +190,8 @@ def nearest(
 
     ``query_filter`` (SQL over ``id``) restricts the rows that ask, never those
     that answer; ``min_cosine`` drops neighbours below it and lets the scan
-    abandon candidates at once. With ``widen``, which takes no ``min_cosine``, each query goes on from its ``probes`` closest
-    lists to all that can hold one of its k, however many lists there are. Every usable row is indexed; ``sample`` bounds only
+    abandon candidates at once. Each query visits its ``probes`` closest lists; by default as many as :func:`measured` finds
+    to be needed for ``recall``, so that the recall does not depend on the number of rows. Every usable row is indexed; ``sample`` bounds only
     what the list centroids are fitted on. A list of more than ``block`` rows is
     split, and each query visits all its blocks. Rows with equal vectors are searched
     for as one and are each other's neighbours at a cosine of 1, the smallest ids first. Unusable rows neither ask nor
@@ -184,13 +203,11 @@ def nearest(
     # beyond this many copies (8 bytes each) the vectors are shuffled instead
     others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
     heads = rows.join(others, "id", "left_anti")
-    index = V.fit_index(heads, sample=sample, block=block)
+    index = V.fit_index(heads, sample=sample, block=block, grouped=min_cosine is None)
     asked = twins.filter(query_filter) if query_filter else twins
     asking = heads.join(asked.select(F.col("head").alias("id")).distinct(), "id", "left_semi") if query_filter else heads
-    if widen:
-        found = widened(heads, asking, index, k=k, probes=probes, block=block, eps=eps)
-    else:
-        found = search(heads, asking, index, k=k, probes=probes, min_cosine=min_cosine, eps=eps)
+    wanted = measured(heads, asking, index, k=k, recall=recall, min_cosine=min_cosine) if probes is None else probes
+    found = search(heads, asking, index, k=k, probes=wanted, min_cosine=min_cosine, eps=eps, bounded=8 if min_cosine is None and probes is None else 0)
     shown = twins.filter(F.col("place") <= k + 1).select("head", F.col("id").alias("b"))
     many = shown.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("head")
     across = found.select("a", F.col("b").alias("head"), "cosine").join(shown, "head").select("a", "b", "cosine")

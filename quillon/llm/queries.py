@@ -45,13 +45,13 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = table(spark, sf_dir, "media_features")
-    near = neighbours.similar_pairs(media, "vec_id", "medium", "feature", LENGTHS, min_cosine=0.985, k=8, probes=4)
+    near = neighbours.similar_pairs(media, "vec_id", "medium", "feature", LENGTHS, min_cosine=0.985, k=8, recall=0.999)
     return near.select("vec_id_a", "vec_id_b")
 
 
 def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = table(spark, sf_dir, "media_features")
-    near = neighbours.nearest(media, "vec_id", "medium", "feature", LENGTHS, k=8, probes=8, widen=True, query_filter="id % 20 = 0")
+    near = neighbours.nearest(media, "vec_id", "medium", "feature", LENGTHS, k=8, recall=0.985, query_filter="id % 20 = 0")
     return near.select(F.col("id").alias("vec_id"), "neighbour", "rank", F.round("cosine", 3).alias("cosine"))
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,27 +93,50 @@ def prepared(df: DataFrame, id_col: str, group_col: str, vector_col: str, length
     return stage(rows.mapInArrow(run, "id long, grp string, vec binary"), "vectors")
 
 
+#: Up to so many lists, each is compared with each row; beyond, only those below the closest upper centroids.
+FLAT = 2048
+
+
 @dataclass(frozen=True)
 class Index:
-    """Centroids of each group and the number of blocks each list is held in."""
+    """Centroids of each group, in one level or two, and how many rows and blocks each list has.
+
+    In two levels the lists of an upper centroid stand next to each other, ``starts`` holding the first of each and the end.
+    """
 
     centroids: dict[str, np.ndarray]
     first: dict[str, int]
+    uppers: dict[str, np.ndarray]
+    starts: dict[str, np.ndarray]
+    held: np.ndarray
     blocks: np.ndarray
     cells: np.ndarray
-    #: largest angle of each list between its centroid and a row it holds, see :func:`with_reach`
-    reach: np.ndarray | None = None
 
-    def nearest(self, group: str, x: np.ndarray, probes: int) -> np.ndarray:
+    def nearest(self, group: str, x: np.ndarray, probes: int, beam: int = 8) -> np.ndarray:
         """The numbers of the closest lists of each row, closest first."""
         c = self.centroids[group]
-        score = x @ c.T
         m = min(probes, len(c))
-        if m == 1:
-            return score.argmax(1)[:, None] + self.first[group]
-        top = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(m), (len(x), 1))
-        order = np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable")
-        return np.take_along_axis(top, order, 1) + self.first[group]
+        if len(c) <= FLAT or 4 * m >= len(c):
+            return _top(x @ c.T, m) + self.first[group]
+        u, starts = self.uppers[group], self.starts[group]
+        beam = min(len(u), max(beam, -(-4 * m * len(u) // len(c))))
+        parents = _top(x @ u.T, beam)
+        width = int(np.diff(starts).max())
+        score = np.full((len(x), beam, width), -9, np.float32)
+        row, place = np.divmod(np.argsort(parents, axis=None, kind="stable"), beam)
+        for a, z in _runs(parents[row, place]):
+            low, high = starts[parents[row[a], place[a]]], starts[parents[row[a], place[a]] + 1]
+            score[row[a:z], place[a:z], : high - low] = x[row[a:z]] @ c[low:high].T
+        best = _top(score.reshape(len(x), -1), m)
+        return starts[np.take_along_axis(parents, best // width, 1)] + best % width + self.first[group]
+
+
+def _top(score: np.ndarray, m: int) -> np.ndarray:
+    """The columns of the m largest scores of each row, largest first."""
+    if m == 1:
+        return score.argmax(1)[:, None]
+    top = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < score.shape[1] else np.tile(np.arange(m), (len(score), 1))
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -138,27 +162,46 @@ def mixed(ids: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fit_index(rows: DataFrame, *, sample: int, block: int, probes: int = 1, seed: int = 3) -> Index:
-    """Fit sqrt(n) lists per group on 32 rows a list, at most ``sample`` rows a group, and count what they hold.
+def _levels(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, upper centroids, starts): k lists, in two levels if there are more than :data:`FLAT`."""
+    if k <= FLAT:
+        return _kmeans(x, k, seed), np.zeros((1, x.shape[1]), np.float32), np.array([0, k])
+    upper = _kmeans(x, math.ceil(math.sqrt(k)), seed)
+    near = np.concatenate([(x[i : i + 8192] @ upper.T).argmax(1) for i in range(0, len(x), 8192)])
+    parts = []
+    for u in range(len(upper)):
+        own = x[near == u]
+        parts.append(_kmeans(own, max(1, min(len(own), round(k * len(own) / len(x)))), seed) if len(own) else upper[u : u + 1])
+    return np.concatenate(parts), upper, np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
-    The sample is chosen by a hash of the id. With ``probes`` > 1 a row counts in each of its closest lists.
-    The driver sees the sample and one count per list, never a row more.
+
+def fit_index(rows: DataFrame, *, sample: int, block: int, probes: int = 1, seed: int = 3, grouped: bool = False) -> Index:
+    """Fit lists on a sample of 32 rows a list, at most ``sample`` rows a group, and count what they hold.
+
+    A group of n rows has sqrt(n) lists, or n / 2048 where that is more, up to an eighth of ``sample``; a list of more than
+    ``block`` rows is held in blocks. With ``probes`` > 1 a row counts in each of its closest lists. ``grouped``, lists
+    close to each other share a cell of at most ``block`` rows, or of a 64th of the group up to 65,536.
+    The sample is chosen by a hash of the id. The driver sees the sample and one count per list, never a row more.
     """
     counts = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for g, n in counts.items():
-        wanted = min(sample, max(4096, 32 * math.ceil(math.sqrt(n))))
-        share = F.when(F.col("grp") == g, F.lit(min(1.0, 0.9 * wanted / n))).otherwise(share)
-    centroids, first, total = {}, {}, 0
-    for g in sorted(counts):
-        hashed = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)
-        got = rows.filter((F.col("grp") == g) & hashed).limit(sample).select("vec").toArrow().column("vec").combine_chunks()
-        got = got if len(got) else rows.filter(F.col("grp") == g).limit(1).select("vec").toArrow().column("vec").combine_chunks()
-        x = as_matrix(got)
-        k = max(1, min(math.ceil(math.sqrt(counts[g])), len(x) // 8))
-        centroids[g], first[g] = _kmeans(x, k, seed), total
-        total += k
-    bare = Index(centroids, first, np.ones(total, np.int64), np.zeros(total, np.int64))
+    lists_of = {g: max(1, min(max(math.ceil(math.sqrt(n)), n // 2048), sample // 8, n // 8)) for g, n in counts.items()}
+    centroids, first, uppers, starts, total = {}, {}, {}, {}, 0
+    if counts:
+        share = {g: min(1.0, 0.9 * min(sample, max(4096, 32 * lists_of[g])) / n) for g, n in counts.items()}
+        of = F.create_map(*[F.lit(v) for g, s in share.items() for v in (g, s)])
+        hashed = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < of[F.col("grp")] * (1 << 30)
+        got = rows.filter(hashed).select("id", "grp", "vec").toArrow()
+        missing = sorted(set(counts) - set(got.column("grp").unique().to_pylist()))
+        if missing:  # groups of a few rows
+            one = rows.filter(F.col("grp").isin(*missing)).groupBy("grp").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("id"))
+            got = pa.concat_tables([got, one.select("id", "grp", "vec").toArrow()])
+        got = got.sort_by("id").combine_chunks()
+        for g in sorted(counts):
+            x = as_matrix(got.filter(pa.compute.equal(got.column("grp"), g)).column("vec").combine_chunks())
+            centroids[g], uppers[g], starts[g] = _levels(x, max(1, min(lists_of[g], len(x) // 8)), seed)
+            first[g] = total
+            total += len(centroids[g])
+    bare = Index(centroids, first, uppers, starts, np.zeros(total, np.int64), np.ones(total, np.int64), np.zeros(total, np.int64))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(total, np.int64)
@@ -167,15 +210,28 @@ def fit_index(rows: DataFrame, *, sample: int, block: int, probes: int = 1, seed
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["list", "n"])
 
-    held = rows.select("id", "grp", "vec").mapInArrow(lists, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
-    blocks = np.ones(total, np.int64)
-    for r in held.collect():
-        blocks[r["list"]] = max(1, -(-r["n"] // block))
-    return Index(centroids, first, blocks, np.concatenate([[0], np.cumsum(blocks)[:-1]]).astype(np.int64))
+    found = rows.select("id", "grp", "vec").mapInArrow(lists, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
+    held = np.zeros(total, np.int64)
+    for r in found.collect():
+        held[r["list"]] = r["n"]
+    blocks, cells, cell = np.ones(total, np.int64), np.zeros(total, np.int64), 0
+    for g, c in centroids.items():
+        most = min(1 << 16, max(block, counts[g] // 64)) if grouped else block
+        blocks[first[g] : first[g] + len(c)] = np.maximum(1, -(-held[first[g] : first[g] + len(c)] // most))
+        room = 0  # rows that the open cell still takes
+        for k in (_chain(c) if grouped else np.arange(len(c))) + first[g]:
+            if not grouped or blocks[k] > 1 or held[k] > room:
+                cells[k], cell = cell, cell + blocks[k]
+                room = max(0, most - held[k]) if blocks[k] == 1 else 0
+            else:
+                cells[k], room = cell - 1, room - held[k]
+    return Index(centroids, first, uppers, starts, held, blocks, cells)
 
 
 def _chain(c: np.ndarray) -> np.ndarray:
     """An order of the centroids in which each is followed by the closest that is left."""
+    if len(c) > FLAT:  # lists of one upper centroid stand together already
+        return np.arange(len(c))
     order, left, at = np.zeros(len(c), np.int64), np.ones(len(c), bool), 0
     for k in range(1, len(c)):
         left[at] = False
@@ -183,49 +239,25 @@ def _chain(c: np.ndarray) -> np.ndarray:
     return order
 
 
-def with_reach(rows: DataFrame, index: Index, *, block: int) -> Index:
-    """The index with the reach of its lists, and lists close to each other in one cell of at most ``block`` rows.
+def by_cell(rows: DataFrame, copies: float, *more: str) -> DataFrame:
+    """Rows partitioned and sorted by cell, in parts of about 16 MB if there are ``copies`` vectors of some 300 bytes."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(copies * 300 / (1 << 24)))
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell", *more)
 
-    The driver sees a count and an angle per list.
-    """
-    total = len(index.blocks)
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, reach = np.zeros(total, np.int64), np.zeros(total)
-        for g, _, x in by_group(batches):
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for a in range(0, len(x), 2048):
-                score = x[a : a + 2048] @ index.centroids[g].T
-                best = score.max(1)
-                held += np.bincount(score.argmax(1) + index.first[g], minlength=total)
-                i, j = np.nonzero(score >= best[:, None] - 1e-4)  # whichever of equally close lists holds the row
-                np.maximum.at(reach, j + index.first[g], np.arccos(np.clip(score[i, j], -1, 1)))
-        some = np.flatnonzero((held > 0) | (reach > 0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some]), pa.array(reach[some])], ["list", "n", "reach"])
-
-    seen = rows.select("id", "grp", "vec").mapInArrow(lists, "list long, n long, reach double").groupBy("list")
-    held, reach = np.zeros(total, np.int64), np.zeros(total)
-    for r in seen.agg(F.sum("n").alias("n"), F.max("reach").alias("reach")).collect():
-        held[r["list"]], reach[r["list"]] = r["n"], r["reach"]
-    cells, cell = np.zeros(total, np.int64), 0
-    for g, c in index.centroids.items():
-        room = 0  # rows that the open cell still takes
-        for k in _chain(c) + index.first[g]:
-            if index.blocks[k] > 1 or held[k] > room:
-                cells[k], cell = cell, cell + index.blocks[k]
-                room = max(0, block - held[k]) if index.blocks[k] == 1 else 0
-            else:
-                cells[k], room = cell - 1, room - held[k]
-    return Index(index.centroids, index.first, index.blocks, cells, reach)
+def of_group(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """(group, its rows) of a batch, in order of the group."""
+    group = batch.column("grp").to_numpy(zero_copy_only=False)
+    for g in sorted(set(group.tolist())):
+        yield g, batch.take(pa.array(np.flatnonzero(group == g)))
 
 
 def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(group, ids, matrix) of each group in each batch of (id, grp, vec)."""
     for batch in batches:
-        group = batch.column("grp").to_numpy(zero_copy_only=False)
-        for g in set(group.tolist()):
-            mine = pa.array(np.flatnonzero(group == g))
-            yield g, batch.column("id").take(mine).to_numpy(), as_matrix(batch.column("vec").take(mine))
+        for g, mine in of_group(batch):
+            yield g, mine.column("id").to_numpy(), as_matrix(mine.column("vec"))
 
 
 def column_blocks(length: int) -> list[int]:
@@ -273,7 +305,7 @@ def first_k(group: np.ndarray, value: np.ndarray, tie: np.ndarray, k: int) -> np
 
 
 def cells_of(batches: Iterator[pa.RecordBatch], step: Callable[..., Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Walk rows (cell, role, id, vec[, least]) sorted by cell and role; role 0 is kept for the cell, the rest is handed to ``step``."""
+    """Walk rows (cell, role, id, vec, least) sorted by cell and role; role 0 is kept for the cell, the rest is handed to ``step``."""
     cell, kept = None, []
     for batch in batches:
         if not batch.num_rows:
@@ -286,5 +318,4 @@ def cells_of(batches: Iterator[pa.RecordBatch], step: Callable[..., Iterator[pa.
             if roles[a] == 0:
                 kept.append((ids, x))
             elif kept:
-                least = batch.column("least").slice(a, z - a).to_numpy() if "least" in batch.schema.names else None
-                yield from step(ids, x, kept, least)
+                yield from step(ids, x, kept, batch.column("least").slice(a, z - a).to_numpy(zero_copy_only=False))
