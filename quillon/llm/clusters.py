@@ -22,7 +22,7 @@ from quillon.llm.neighbours import measured, search
 from quillon.runtime import stage
 
 
-def _cells(index: V.Index, probes: int, salt: int, paired: bool = False):
+def _cells(index: V.Index, probes: int | Mapping[str, int], salt: int, paired: bool = False):
     """(cell, grp, id, vec): each row once in each of its closest lists, in one block of it.
 
     ``paired``, a cell is two blocks of a list, and each row is in all cells of its block, so that every row of a list meets every other.
@@ -34,7 +34,7 @@ def _cells(index: V.Index, probes: int, salt: int, paired: bool = False):
         for g, ids, x in V.by_group(batches):
             for a in range(0, len(ids), 2048):
                 part, own = x[a : a + 2048], ids[a : a + 2048]
-                lists = index.nearest(g, part, probes)
+                lists = index.nearest(g, part, V.of(probes, g))
                 at = np.repeat(np.arange(len(own)), lists.shape[1])
                 lists = lists.reshape(-1)
                 block = (V.mixed(own[at], salt) % index.blocks[lists].astype(np.uint64)).astype(np.int64)
@@ -144,7 +144,7 @@ def assign(rows: DataFrame, *, threshold: float, probes: int, sample: int, block
         salt = seed + len(rounds)
         if wanted is None:  # as many lists as it takes for similar open rows to meet, the same in all rounds
             index = V.fit_index(open_rows, sample=sample, block=block, seed=salt)
-            wanted = max(measured(open_rows, open_rows, index, k=8, recall=0.99, least=probes, min_cosine=threshold).values(), default=probes)
+            wanted = measured(open_rows, open_rows, index, k=8, recall=0.95, least=probes, min_cosine=threshold, asked=2048)
         index = V.fit_index(open_rows, sample=sample, block=block, probes=wanted, seed=salt)
         copies = float((index.held * np.maximum(1, index.blocks - 1)).sum())
         placed = V.by_cell(open_rows.mapInArrow(_cells(index, wanted, salt, paired=True), cells), copies)

@@ -27,7 +27,7 @@ def _placer(index: V.Index, probes: int | Mapping[str, int], role: int, salt: in
         for batch in batches:
             for g, mine in V.of_group(batch):
                 ids, x, least = mine.column("id").to_numpy(), V.as_matrix(mine.column("vec")), mine.column("least")
-                half, wanted = x.astype(np.float16), probes if isinstance(probes, int) else probes[g]
+                half, wanted = x.astype(np.float16), V.of(probes, g)
                 for a in range(0, len(ids), 2048):
                     lists = index.nearest(g, x[a : a + 2048], wanted if role else 1)
                     at, lists = np.repeat(np.arange(a, a + len(lists)), lists.shape[1]), lists.reshape(-1)

@@ -131,6 +131,11 @@ class Index:
         return starts[np.take_along_axis(parents, best // width, 1)] + best % width + self.first[group]
 
 
+def of(probes: int | Mapping[str, int], group: str) -> int:
+    """How many lists a group probes."""
+    return probes if isinstance(probes, int) else probes[group]
+
+
 def _top(score: np.ndarray, m: int) -> np.ndarray:
     """The columns of the m largest scores of each row, largest first."""
     if m == 1:
@@ -175,7 +180,7 @@ def _levels(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(parts), upper, np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-def fit_index(rows: DataFrame, *, sample: int, block: int, probes: int = 1, seed: int = 3, grouped: bool = False) -> Index:
+def fit_index(rows: DataFrame, *, sample: int, block: int, probes: int | Mapping[str, int] = 1, seed: int = 3, grouped: bool = False) -> Index:
     """Fit lists on a sample of 32 rows a list, at most ``sample`` rows a group, and count what they hold.
 
     A group of n rows has sqrt(n) lists, or n / 2048 where that is more, up to an eighth of ``sample``; a list of more than
@@ -188,8 +193,8 @@ def fit_index(rows: DataFrame, *, sample: int, block: int, probes: int = 1, seed
     centroids, first, uppers, starts, total = {}, {}, {}, {}, 0
     if counts:
         share = {g: min(1.0, 0.9 * min(sample, max(4096, 32 * lists_of[g])) / n) for g, n in counts.items()}
-        of = F.create_map(*[F.lit(v) for g, s in share.items() for v in (g, s)])
-        hashed = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < of[F.col("grp")] * (1 << 30)
+        shares = F.create_map(*[F.lit(v) for g, s in share.items() for v in (g, s)])
+        hashed = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < shares[F.col("grp")] * (1 << 30)
         got = rows.filter(hashed).select("id", "grp", "vec").toArrow()
         missing = sorted(set(counts) - set(got.column("grp").unique().to_pylist()))
         if missing:  # groups of a few rows
@@ -206,7 +211,7 @@ def fit_index(rows: DataFrame, *, sample: int, block: int, probes: int = 1, seed
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(total, np.int64)
         for g, _, x in by_group(batches):
-            held += np.bincount(bare.nearest(g, x, probes).reshape(-1), minlength=total)
+            held += np.bincount(bare.nearest(g, x, of(probes, g)).reshape(-1), minlength=total)
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["list", "n"])
 
