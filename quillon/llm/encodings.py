@@ -1,18 +1,19 @@
 """Text decoded with the wrong character encoding: found, and restored where it can be.
 
-A wrong decoding is a substitution cipher: each byte (or group of bytes) of the true encoding
-shows as some other letter or sign. Every known swap of code pages is one source of
-ciphered words, whose table the two pages give; one more source stands for swaps of
-unknown pages. Expectation-maximisation over the corpus estimates together
+A wrong decoding is a substitution cipher: each symbol that is shown, one character or the several that
+the bytes of one letter show as, stands for a letter. Every suspected swap of code pages is a source of
+ciphered words; one more source stands for swaps of unknown pages, and one for UTF-8
+of which only some bytes are left. Expectation-maximisation over the different words of the corpus estimates together
 
-* the bigram model of the languages, without the words held to be ciphered,
+* the bigram model of the languages, without the words in so far as they are held to be ciphered,
 * how often each source occurs, and
-* the table of the unknown source: which letter each sign that breaks words stands for,
-  told by the letters around it.
+* the table of each source: which letter each of its symbols stands for, told by the letters
+  around it. The two pages of a suspected swap only say where its table starts; the table of the unknown
+  source starts from nothing.
 
 A word is ciphered if the source's reading, weighed by how rare the source is, beats
-the text as it stands under the bigram model. Tables of one symbol a letter are applied
-as translations, those of several by pattern.
+the text as it stands under the bigram model. Tables are applied as translations, those of
+symbols of several characters by pattern.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import uuid
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.runtime import bounded
+from quillon.runtime import bounded, stage
 
 #: Code pages a text can be shown in, each with what its bytes may truly have been.
 SWAPS: Mapping[str, Sequence[str]] = {
@@ -47,9 +47,8 @@ SWAPS: Mapping[str, Sequence[str]] = {
 MULTI = ("utf-8", "cp932", "euc_jp")
 #: The source of swaps between pages that are not known.
 UNKNOWN = ("unknown", "learned")
-#: UTF-8 shown byte by byte, with the bytes that show as controls or blanks dropped, and what is left of which letters.
+#: UTF-8 shown byte by byte, with the bytes that show as controls or blanks dropped.
 LOST = ("latin-1", "utf-8 without controls")
-LEFT_OF = {"Ã": [*map(chr, range(0xC0, 0xE0)), "à", "í"], "â": list("’‘“”…–—")}
 #: Characters no correct text holds: the replacement sign and C1 controls but for next line.
 BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
 _HIGH = re.compile("[^\x00-\x7f]+")
@@ -57,6 +56,20 @@ _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf
 EDGE = " "
 
 
+def _left_of() -> dict[str, list[str]]:
+    """Of each sign that is the first byte of a letter or mark in UTF-8 and the only one to show, those letters and marks."""
+    found: dict[str, list[str]] = {}
+    for o in [*range(0x80, 0x600), *range(0x2000, 0x2070)]:
+        if unicodedata.category(chr(o))[0] in "LP":
+            lead, *rest = chr(o).encode("utf-8")
+            if all(b < 0xA1 or b == 0xAD for b in rest):
+                found.setdefault(chr(lead), []).append(chr(o))
+    return found
+
+
+LEFT_OF = _left_of()
+
+
 def _page(codec: str) -> dict[str, int]:
     """Character to byte of a single-byte page; bytes the page leaves open stand for their C1 control."""
     page = {}
@@ -188,6 +201,13 @@ class Bigrams:
             p *= (self.singles[c] + 0.05) / (self.of_kind[b] + 200)
         return math.log(max(p, 1e-12))
 
+    def step(self, a: str, c: str) -> float:
+        """Log probability of a character after one of class ``a``."""
+        got = self.known.get((a, c))
+        if got is None:
+            got = self.known[a, c] = self._one(a, c)
+        return got
+
     def score(self, word: str) -> float:
         """Log probability of a word between blanks."""
         total, a, known = 0.0, EDGE, self.known
@@ -258,113 +278,180 @@ def decipher(word: str, shown: str, true: str) -> str | None:
     return "".join([get(o, c) if (o := ord(c)) > 127 else c for c in word])
 
 
-_SEEN: dict[str, dict[str, tuple]] = {}
-
-
-def learn_table(contexts: Mapping[tuple[str, str, str], int], bigrams: Bigrams, *, rounds: int = 30, least: int = 5, sure: float = 0.7, odds: float = 20.0) -> dict[int, str]:
+def symbols(word: str, shown: str, true: str) -> list[tuple[str, str]] | None:
+    """(symbol, letter) of the parts of a word as the two pages of a source read it, None if they cannot."""
+    if true == "utf-8":
+        page, out, last = PAGES[shown], [], 0
+        for m in _HIGH.finditer(word):
+            out += zip(word[last : m.start()], word[last : m.start()], strict=True)
+            last, at, raw = m.end(), 0, bytes(page.get(c, 0) for c in m[0])
+            for seq in _UTF8.finditer(raw):
+                try:
+                    letter = seq[0].decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                out += [*zip(m[0][at : seq.start()], m[0][at : seq.start()], strict=True), (m[0][seq.start() : seq.end()], letter)]
+                at = seq.end()
+            out += zip(m[0][at:], m[0][at:], strict=True)
+        return [*out, *zip(word[last:], word[last:], strict=True)]
+    text = decipher(word, shown, true)
+    if text is None:
+        return None
+    if true not in MULTI:
+        return list(zip(word, text, strict=True))
+    out, at = [], 0
+    for c in text:
+        try:
+            size = len(c.encode(true)) if at < len(word) else 0
+        except UnicodeEncodeError:  # behind a letter that was cut off
+            size = 1
+        out.append((word[at : at + size], c))
+        at += size
+    return out
+
+
+def learn_table(
+    contexts: Mapping[tuple[str, str, str], float],
+    bigrams: Bigrams,
+    start: Mapping[str, str] | None = None,
+    *,
+    rounds: int = 30,
+    least: int = 5,
+    sure: float = 0.7,
+    odds: float = 20.0,
+) -> dict[str, str]:
     """The letter each symbol stands for, by EM over (left, symbol, right) counts against the bigram model.
 
-    Neighbours may be symbols themselves and then count as what they are believed to be. A
-    symbol is kept if it occurs ``least`` times in three contexts, one letter has a
-    probability of ``sure``, and that letter beats the symbol itself by ``odds``.
+    ``start`` gives letters to start from, held to be as likely as all others together; the table of a source without them starts
+    from nothing, and its neighbours may be symbols themselves, which then count as what they are believed to be. A
+    symbol is in the table if it occurs ``least`` times in three contexts (with a start, in any), one letter has a
+    probability of ``sure``, and that letter beats the symbol itself, where it is one character, by ``odds``.
     """
+    start = start or {}
     total: Counter = Counter()
-    for (_, symbol, _), n in contexts.items():
+    different: dict[str, set] = {}
+    for (a, symbol, b), n in contexts.items():
         total[symbol] += n
-    symbols = [x for x, n in total.items() if n >= least and len({c[::2] for c in contexts if c[1] == x}) >= 3]
+        different.setdefault(symbol, set()).add((a, b))
+    symbols_ = sorted(x for x, n in total.items() if n >= least and (x in start or len(different[x]) >= 3))
     # bytes up to 127 mean the same in almost all pages, so no symbol stands for a plain letter
-    letters = [c for c, n in bigrams.singles.most_common(400) if c.isalpha() and "\x7f" < c < "\u0250"]
-    if not symbols or not letters:
+    common = [c for c, n in bigrams.singles.most_common(400) if c.isalpha() and c > "\x7f" and kind(c) == c and c not in "ひカ漢" and (start or c < "\u0250")]
+    letters = sorted({*common, *(start[x] for x in symbols_ if x in start)})
+    if not symbols_ or not letters:
         return {}
-    rows = [(a, x, b, n) for (a, x, b), n in contexts.items() if x in set(symbols)]
-    at = {x: k for k, x in enumerate(symbols)}
-    shown = np.full((len(symbols), len(letters)), 1 / len(symbols))  # how often a letter shows as each symbol
-    means = np.full((len(symbols), len(letters)), 1 / len(letters))  # how often a symbol means each letter
-    step = {(a, c): math.exp(bigrams._one(a, c)) for a in {r[0] for r in rows} - set(symbols) for c in letters}
-    step |= {(c, b): math.exp(bigrams._one(c, b)) for b in {r[2] for r in rows} - set(symbols) for c in letters}
-    between = np.array([[math.exp(bigrams._one(a, c)) for c in letters] for a in letters])
-    into = {a: np.array([step[a, c] for c in letters]) for a in {r[0] for r in rows} - set(symbols)}
-    out = {b: np.array([step[c, b] for c in letters]) for b in {r[2] for r in rows} - set(symbols)}
+    at = {x: k for k, x in enumerate(symbols_)}
+    to = {c: k for k, c in enumerate(letters)}
+    rows = [(a, x, b, n) for (a, x, b), n in contexts.items() if x in at]
+    shown = np.full((len(at), len(letters)), 1 / len(at))  # how often a letter shows as each symbol
+    means = np.full((len(at), len(letters)), 1 / len(letters))  # how often a symbol means each letter
+    for x, c in start.items():
+        if x in at:
+            shown[at[x]] /= len(letters)
+            shown[at[x], to[c]] = 1.0
+    open_ = set() if start else set(at)
+    lefts, rights = sorted({r[0] for r in rows} - open_), sorted({r[2] for r in rows} - open_)
+    rate = lambda a, c: math.exp(bigrams.step(kind(a), c))
+    step = np.array([[rate(a, c) for c in letters] for a in lefts]).reshape(-1, len(letters))
+    back = np.array([[rate(c, b) for c in letters] for b in rights]).reshape(-1, len(letters))
+    between = np.array([[rate(a, c) for c in letters] for a in letters]) if open_ else None
+    in_at, out_at = {a: k for k, a in enumerate(lefts)}, {b: k for k, b in enumerate(rights)}
     owner, n = np.array([at[r[1]] for r in rows]), np.array([r[3] for r in rows], float)
     for _ in range(rounds):
-        left = np.array([into[r[0]] if r[0] in into else means[at[r[0]]] @ between for r in rows])
-        right = np.array([out[r[2]] if r[2] in out else between @ means[at[r[2]]] for r in rows])
+        left = np.array([step[in_at[r[0]]] if r[0] in in_at else means[at[r[0]]] @ between for r in rows])
+        right = np.array([back[out_at[r[2]]] if r[2] in out_at else between @ means[at[r[2]]] for r in rows])
         posterior = shown[owner] * left * right
         posterior *= (n / np.maximum(posterior.sum(1), 1e-300))[:, None]
         counts = np.zeros_like(means)
         np.add.at(counts, owner, posterior)
-        means = counts / np.maximum(counts.sum(1, keepdims=True), 1e-300)
+        before, means = means, counts / np.maximum(counts.sum(1, keepdims=True), 1e-300)
         shown = (counts + 0.01) / (counts + 0.01).sum(0, keepdims=True)
+        if np.abs(means - before).max() < 1e-3:
+            break
+    gain, over = Counter(), Counter()  # over the symbol itself; over the start, each context counted once
+    fits = lambda a, c, b: bigrams.step(kind(a), c) + bigrams.step(kind(c), b)
+    for a, x, b, m in rows:
+        c = letters[int(means[at[x]].argmax())]
+        if len(x) == 1 and a not in open_ and b not in open_:
+            gain[x] += m * (fits(a, c, b) - fits(a, x, b))
+        if x in start:
+            over[x] += fits(a, c, b) - fits(a, start[x], b)
     table = {}
     for x, k in at.items():
         c = letters[int(means[k].argmax())]
-        gain = sum(
-            m * (bigrams._one(a, c) + bigrams._one(c, b) - bigrams._one(a, x) - bigrams._one(x, b)) for a, y, b, m in rows if y == x and a not in at and b not in at
-        )
-        if means[k].max() >= sure and gain > odds:
-            table[ord(x)] = c
+        told = means[k].max() >= sure and (len(x) > 1 or gain[x] > odds)
+        # against its two pages a symbol is read on far more evidence only
+        if told and (not start or c == start[x] or total[x] >= 10 * least and over[x] > odds and means[k].max() >= 0.99):
+            table[x] = c
     return table
 
 
 @dataclass
 class Cipher:
-    """What EM learned: the bigram model, the log prior of each source, and the table of the unknown source."""
+    """What EM learned: the bigram model, the log prior of each source, and the table of each source; symbols it has too little text of are read as the pages say."""
 
     bigrams: Bigrams
     priors: dict[tuple[str, str], float]
-    table: dict[int, str] = field(default_factory=dict)
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+    tables: dict[tuple[str, str], dict[str, str]] = field(default_factory=dict)
 
-    @property
-    def seen(self) -> dict[str, tuple]:
-        """Words read so far in this process; the tasks of a worker share them."""
-        if self.name not in _SEEN:
-            _SEEN.clear()
-            _SEEN[self.name] = {}
-        return _SEEN[self.name]
+    def __post_init__(self) -> None:
+        self.unknown = str.maketrans(self.tables.get(UNKNOWN, {}))
+        self.single = {s: TABLES[s] | str.maketrans(self.tables.get(s, {})) for s in TABLES}
+        #: letters of symbols of several characters that are not those of the pages
+        self.changed = {s: t for s, t in self.tables.items() if s[1] in MULTI and any((symbols(x, *s) or [(x, None)])[0][1] != c for x, c in t.items())}
+
+    def deciphered(self, word: str, source: tuple[str, str]) -> str | None:
+        """The word as the table of a source reads it, None if it cannot."""
+        if source[1] not in MULTI:
+            return word.translate(self.single[source]) if PAGE_SETS[source[0]].issuperset(word) else None
+        text = decipher(word, *source)
+        if text is not None and source in self.changed:
+            text = "".join([self.changed[source].get(a, b) for a, b in symbols(word, *source)])
+        return text
 
     def read(self, word: str) -> tuple[float, tuple[str, str] | None, str]:
         """(log odds before the prior, source, reading) of the likeliest source; odds of 0 if the word is better as it is."""
-        seen = self.seen
-        got = seen.get(word)
-        if got is None:
-            got = (0.0, None, word)
-            if self.bigrams.rarest(word) < -6.5:
-                base = self.bigrams.score(word)
-                best = -math.inf
-                shaped = SHAPED.search(word) or word[0] > "\u03ff" or not PAGE_SETS["latin-1"].issuperset(word)
-                for source in SOURCES:
-                    if source[1] == "utf-8" and not shaped:
-                        continue
-                    text = decipher(word, *source)
-                    if text is None or text == word:
-                        continue
-                    for _ in range(3):  # decoded wrongly more than once
-                        again = _utf8(text, "cp1252") or _utf8(text, "latin-1") if source[1] == "utf-8" and not text.isascii() else None
-                        if again is None or self.bigrams.score(again) <= self.bigrams.score(text):
-                            break
-                        text = again
-                    odds = self.bigrams.score(text) - base
-                    if odds > 0 and odds + self.priors[source] > best:
-                        got, best = (odds, source, text), odds + self.priors[source]
-                if "Ã" in word or "â" in word:
-                    text = self._filled(_utf8(word, "latin-1") or word)
-                    odds = self.bigrams.score(text) - base
-                    if text != word and odds > 0 and odds + self.priors[LOST] > best:
-                        got, best = (odds, LOST, text), odds + self.priors[LOST]
-                if got[1] is None and self.table:
-                    text = word.translate(self.table)
-                    odds = self.bigrams.score(text) - base
-                    if text != word and odds > 0:
-                        got = (odds, UNKNOWN, text)
-            if len(seen) > 300_000:
-                seen.clear()
-            seen[word] = got
+        got, score = (0.0, None, word), self.bigrams.score
+        if self.bigrams.rarest(word) >= -6.5:
+            return got
+        base, best = score(word), -math.inf
+        shaped = SHAPED.search(word) or word[0] > "\u03ff" or not PAGE_SETS["latin-1"].issuperset(word)
+        for source in SOURCES:
+            if source[1] == "utf-8" and not shaped:
+                continue
+            text = self.deciphered(word, source)
+            if text is None or text == word:
+                continue
+            while source[1] == "utf-8" and not text.isascii():  # decoded wrongly more than once
+                again = _utf8(text, source[0]) or _utf8(text, "cp1252") or _utf8(text, "latin-1")
+                if again is None or score(again) <= score(text):
+                    break
+                text = again
+            odds = score(text) - base
+            if odds > 0 and odds + self.priors[source] > best:
+                got, best = (odds, source, text), odds + self.priors[source]
+        if any(c in LEFT_OF for c in word):
+            text = self._filled(_utf8(word, "latin-1") or word)
+            odds = score(text) - base
+            if text != word and odds > 0 and odds + self.priors[LOST] > best:
+                got, best = (odds, LOST, text), odds + self.priors[LOST]
+        if got[1] is None and self.unknown:
+            text = word.translate(self.unknown)
+            odds = score(text) - base
+            if text != word and odds > 0:
+                got = (odds, UNKNOWN, text)
         return got
 
+    def learned(self, word: str, source: tuple[str, str]) -> bool:
+        """Whether all letters a source reads in a word come from its learned table."""
+        if source == LOST:
+            return False
+        table = self.tables.get(source, {})
+        parts = zip(word, word.translate(self.unknown), strict=True) if source == UNKNOWN else symbols(word, *source)
+        return all(x in table for x, c in parts if x != c)
+
     def _filled(self, word: str) -> str:
         """The word with each sign of a letter whose other bytes were dropped made the letter that fits best."""
-        out, step = "", self.bigrams._one
+        out, step = "", self.bigrams.step
         for k, c in enumerate(word):
             if c in LEFT_OF:
                 a, b = kind(out[-1]) if out else EDGE, word[k + 1] if k + 1 < len(word) else EDGE
@@ -372,35 +459,6 @@ class Cipher:
             out += c
         return out
 
-    def examine(self, text: str, near: float = 2.0) -> list[tuple[int, int, tuple[str, str] | None, str]]:
-        """(start, end, source, reading) of the ciphered words of a text; without a source where nothing can be told.
-
-        A source must outweigh its prior with the different words it explains better by more
-        than ``near``; each of these is then taken to be ciphered.
-        """
-        found, open_ = [], []
-        for a, b in words_beyond_ascii(text):
-            word = text[a:b]
-            odds, source, reading = self.read(word)
-            if source is not None and source[0] in CYRILLIC and source[1] in CYRILLIC and odds < 4 * near:
-                source = None
-            if source == LOST and odds < 5 * near:  # capitals with a tilde look alike
-                source = None
-            if source is not None:
-                open_.append((a, b, source, reading, odds))
-            elif BROKEN.search(word):
-                found.append((a, b, None, word))
-        weight: dict[tuple[str, str], float] = {}
-        for word, source, odds in {(text[a:b], s, odds) for a, b, s, _, odds in open_ if odds > near}:
-            weight[source] = weight.get(source, near) + odds - near
-        sure = {s for s, odds in weight.items() if odds + self.priors[s] > 0}
-        for a, b, source, reading, odds in open_:
-            if source in sure and odds > near:
-                found.append((a, b, source, reading))
-            elif BROKEN.search(text, a, b):
-                found.append((a, b, None, text[a:b]))
-        return sorted(found, key=lambda x: x[:2])
-
 
 def _stacked(df: DataFrame, id_col: str, text_cols: Sequence[str], only_wide: bool) -> DataFrame:
     """(id, field_name, text): one row per value."""
@@ -465,120 +523,193 @@ def _model(rows: Sequence) -> tuple[Counter, Counter]:
     return pairs, singles
 
 
-def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int = 1, rare: float = 1e-4) -> Cipher:
-    """EM over all values of ``text_cols``. The driver gets counts of pairs of characters, as many as alphabets have, and of symbols."""
+def wide_words(values: DataFrame) -> DataFrame:
+    """(id, field_name, h, word): each word beyond ASCII of each value, with repeats; h is a hash of the value."""
+    words = F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda w: w.rlike("[^\\x00-\\x7f]"))
+    return values.select("id", "field_name", F.xxhash64("text").alias("h"), F.explode(words).alias("word"))
+
+
+def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int = 2, rare: float = 1e-4) -> tuple[Cipher, DataFrame]:
+    """EM over all values of ``text_cols``: what was learned, and (word, n), the different words beyond ASCII; staged.
+
+    The texts are read once for the counts of pairs and once for the words; rounds then go over the different words. The driver
+    gets counts of pairs of characters and of symbols between letters, as many as alphabets have.
+    """
     got = _stacked(df, id_col, text_cols, False).select("text").mapInArrow(_count, "a long, b long, n long")
     pairs, singles = _model(got.groupBy("a", "b").agg(F.sum("n").alias("n")).collect())
+    values = _stacked(df, id_col, text_cols, True)
+    words = wide_words(values).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # few bytes, but much work each: over all cores
+    words = stage(words.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)), "words")
+    n_words = max(1, words.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0])
     cipher = Cipher(Bigrams(pairs, singles), dict.fromkeys([*SOURCES, LOST, UNKNOWN], math.log(rare)))
-    values = _stacked(df, id_col, text_cols, True).select("text")
-    for k in range(rounds):
-        rows = values.mapInArrow(_expected(cipher, k == 0), "what string, a string, b string, n long")
-        moved = rows.groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-        words: Counter = Counter()
-        contexts: Counter = Counter()
+    for _ in range(rounds):
+        moved = words.mapInArrow(_expected(cipher), "what string, source string, a string, b string, c string, n double")
+        moved = moved.groupBy("what", "source", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
+        new_pairs, new_singles, words_of = Counter(pairs), Counter(singles), Counter()
+        contexts: dict[tuple, dict] = {}
         for r in moved:
+            source = tuple(r["source"].split("|"))
             if r["what"] == "pair":
-                pairs[r["a"], r["b"]] = max(0, pairs[r["a"], r["b"]] + r["n"])
+                new_pairs[r["a"], r["b"]] = max(0.0, new_pairs[r["a"], r["b"]] + r["n"])
             elif r["what"] == "single":
-                singles[r["a"]] = max(0, singles[r["a"]] + r["n"])
+                new_singles[r["a"]] = max(0.0, new_singles[r["a"]] + r["n"])
             elif r["what"] == "context":
-                contexts[r["a"][0], r["b"], r["a"][1]] += r["n"]
+                contexts.setdefault(source, {})[r["a"], r["b"], r["c"]] = r["n"]
             else:
-                words[r["a"], r["b"]] += r["n"]
-        n_values = max(1, sum(r["n"] for r in moved if r["what"] == "values"))
-        priors = {s: math.log(min(max((words[s] + 0.5) / n_values, rare / 10), 0.05)) for s in [*SOURCES, LOST]}
-        table = learn_table(contexts, Bigrams(pairs, singles))
-        for a, b in [p for p in pairs if ord(p[0]) in table and p[1].isalpha() or ord(p[1]) in table and p[0].isalpha()]:
-            del pairs[a, b]  # within words these are ciphers
-        cipher = Cipher(Bigrams(pairs, singles), priors | {UNKNOWN: math.log(10 * rare)}, table)
-    return cipher
+                words_of[source] += r["n"]
+        bigrams = Bigrams(new_pairs, new_singles)
+        tables = {UNKNOWN: learn_table(contexts.pop(UNKNOWN, {}), bigrams)}
+        for source, seen in contexts.items():
+            tables[source] = learn_table(seen, bigrams, {x: symbols(x, *source)[0][1] for _, x, _ in seen}, least=2)
+        for a, b in [p for p in new_pairs if p[0] in tables[UNKNOWN] and p[1].isalpha() or p[1] in tables[UNKNOWN] and p[0].isalpha()]:
+            del new_pairs[a, b]  # within words these are ciphers
+        priors = {s: math.log(min(max((words_of[s] + 0.5) / n_words, rare / 100), 0.05)) for s in [*SOURCES, LOST]}
+        cipher = Cipher(Bigrams(new_pairs, new_singles), priors | {UNKNOWN: math.log(10 * rare)}, tables)
+    return cipher, words
 
 
 def _signs_within(word: str) -> list[tuple[str, str, str]]:
-    """("context", neighbours, sign) of each sign between two letters that would not stand there in correct text."""
-    return [
-        ("context", a + b, c)
-        for a, c, b in zip(word, word[1:], word[2:], strict=False)
-        if c > "\x7f" and a.isalpha() and b.isalpha() and unlikely(a, c)
-    ]
+    """(left, sign, right) of each sign between two letters that would not stand there in correct text."""
+    return [(a, c, b) for a, c, b in zip(word, word[1:], word[2:], strict=False) if c > "\x7f" and a.isalpha() and b.isalpha() and unlikely(a, c)]
 
 
-def _expected(cipher: Cipher, first: bool):
-    """Counts a round moves: pairs of the ciphered words away, those of their readings in, values of each source."""
+def _expected(cipher: Cipher):
+    """What a round moves, by how likely each word is ciphered: pairs of the word away, those of its reading in, symbols between the letters read, words of each source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved: Counter = Counter()
-        within: dict[str, list] = {}
-        for batch in bounded(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                moved["values", "", ""] += 1
-                found = cipher.examine(text)
-                for source in {f[2] for f in found} - {None}:
-                    moved["source", *source] += 1
-                ciphered = {(a, b) for a, b, _, _ in found}
-                for a, b in words_beyond_ascii(text):
-                    if (a, b) not in ciphered:
-                        word = text[a:b]
-                        signs = within.get(word)
-                        if signs is None:
-                            if len(within) > 300_000:
-                                within.clear()
-                            signs = within[word] = _signs_within(word)
-                        for key in signs:
-                            moved[key] += 1
-                changes = [(text[a:b], -1, source) for a, b, source, _ in found]
-                changes += [(reading, 1, source) for _, _, source, reading in found if source]
-                if first and _MAYBE_SHAPED.search(text):
-                    changes += [(text[a:b], 1, None) for a, b in words_beyond_ascii(text) if (a, b) not in ciphered and SHAPED.search(text, a, b)]
-                for word, n, source in changes:
-                    if n < 0 and first and SHAPED.search(word):
-                        continue  # was not counted
-                    left = EDGE
-                    for c in [*word, EDGE]:
-                        moved["pair", left, kind(c)] += n
-                        if c != EDGE:
-                            moved["single", c, ""] += n
-                        left = kind(c)
+
+        def add(word: str, n: float) -> None:
+            left = EDGE
+            for c in [*word, EDGE]:
+                moved["pair", "", left, kind(c), ""] += n
+                if c != EDGE:
+                    moved["single", "", c, "", ""] += n
+                left = kind(c)
+
+        for batch in bounded(batches, "word"):
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                odds, source, reading = cipher.read(word)
+                chance = 1 / (1 + math.exp(min(50.0, -odds - cipher.priors[source]))) if source else 0.0
+                shaped = SHAPED.search(word)  # such sequences were not counted
+                if shaped and chance < 0.99:
+                    add(word, n * (1 - chance))
+                if chance > 0.01:
+                    add(reading, n * chance)
+                    if not shaped:
+                        add(word, -n * chance)
+                    name = "|".join(source)
+                    moved["source", name, "", "", ""] += n * chance
+                    parts = [(EDGE, EDGE), *symbols(word, *source), (EDGE, EDGE)] if source not in (LOST, UNKNOWN) else []
+                    letters = [cipher.tables.get(source, {}).get(x, c) for x, c in parts]
+                    if "".join(letters[1:-1]) == reading:  # not of words decoded wrongly more than once
+                        for k in range(1, len(parts) - 1):
+                            c = parts[k][1]
+                            if parts[k][0] != c and kind(c) == c:  # letters of large scripts are not told apart by their neighbours
+                                moved["context", name, kind(letters[k - 1][-1:] or EDGE), parts[k][0], kind(letters[k + 1][:1] or EDGE)] += n * chance
+                if chance < 0.5 or source == UNKNOWN:
+                    for a, c, b in _signs_within(word):
+                        moved["context", "|".join(UNKNOWN), a, c, b] += n
         keys = list(moved)
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array([k[j] for k in keys], pa.string()) for j in range(3)), pa.array([moved[k] for k in keys], pa.int64())], ["what", "a", "b", "n"]
+            [*(pa.array([k[j] for k in keys], pa.string()) for j in range(5)), pa.array([moved[k] for k in keys], pa.float64())], ["what", "source", "a", "b", "c", "n"]
         )
 
     return run
 
 
-def garbled(df: DataFrame, id_col: str, text_cols: Sequence[str], cipher: Cipher | None = None) -> DataFrame:
-    """(id, field_name, sources, restored, complete): one row per value that holds wrongly decoded text.
+def _readings(cipher: Cipher, near: float) -> Callable:
+    """(word, source, odds, reading, learned) of the words some source reads better, and without a source of those that hold a :data:`BROKEN` sign."""
 
-    ``restored`` is the value with every word put right that can be; ``complete``
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "word"):
+            out = []
+            for word in batch.column("word").to_pylist():
+                odds, source, reading = cipher.read(word)
+                if source and odds > (4 * near if source[0] in CYRILLIC and source[1] in CYRILLIC else near):
+                    out.append((word, "|".join(source), odds, reading, cipher.learned(word, source)))
+                if BROKEN.search(word):
+                    out.append((word, None, 0.0, word, False))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["word", "source", "odds", "reading", "learned"])
+
+    return run
+
+
+def ciphered_words(df: DataFrame, id_col: str, text_cols: Sequence[str], learned: tuple[Cipher, DataFrame] | None = None, near: float = 2.0, rare: float = 1e-4) -> DataFrame:
+    """(id, field_name, h, word, source, reading, learned): the words of each value held to be ciphered, without a source where nothing can be told.
+
+    A source must outweigh its prior, the share of the values that it has, with the different words of the value it explains better by more
+    than ``near``; each of these is then taken to be ciphered. Only words that some source reads better are joined to the values.
+    """
+    cipher, words = learned or learn(df, id_col, text_cols)
+    readings = stage(words.mapInArrow(_readings(cipher, near), "word string, source string, odds double, reading string, learned boolean"), "readings")
+    key = ["id", "field_name", "h"]
+    hits = stage(wide_words(_stacked(df, id_col, text_cols, True)).join(readings, "word").distinct(), "hits")
+    weight = hits.filter("source is not null").groupBy(*key, "source").agg(F.sum(F.col("odds") - near).alias("weight"))
+    weight = stage(weight.filter(F.col("weight") + near + math.log(0.05) > 0), "weights")
+    n_values = max(1, _stacked(df, id_col, text_cols, True).count())
+    prior = dict.fromkeys(["|".join(s) for s in cipher.priors], math.log(rare))
+    for last in (False, True):
+        of = F.create_map(*[F.lit(v) for s, p in prior.items() for v in (s, p)])
+        sure = weight.filter(F.col("weight") + near + of[F.col("source")] > 0)
+        if not last:  # how many values each source has
+            held = {r["source"]: r["n"] for r in sure.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+            prior = {s: math.log(min(max((held.get(s, 0) + 0.5) / n_values, rare / 10), 0.05)) for s in prior}
+    sure = sure.select(*[F.col(c).alias(f"s_{c}") for c in [*key, "source"]])
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*key, "source"]]
+    told = hits.join(sure, same, "left_semi")
+    return told.unionByName(hits.filter("source is null")).drop("odds")
+
+
+def _values_of(df: DataFrame, id_col: str, text_cols: Sequence[str], found: DataFrame, how: str) -> DataFrame:
+    """The values (id, field_name, text) joined to rows of (id, field_name, h, ...)."""
+    keys = ("id", "field_name", "h")
+    values = _stacked(df, id_col, text_cols, True).withColumn("h", F.xxhash64("text"))
+    return values.join(found.withColumnsRenamed({c: f"f_{c}" for c in keys}), [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in keys], how)
+
+
+def found(df: DataFrame, id_col: str, text_cols: Sequence[str], learned: tuple[Cipher, DataFrame] | None = None) -> DataFrame:
+    """(id, field_name): one row per value that holds wrongly decoded text, as :func:`garbled` without the restored text."""
+    words = ciphered_words(df, id_col, text_cols, learned)
+    return _values_of(df, id_col, text_cols, words.select("id", "field_name", "h"), "left_semi").select(F.col("id").alias(id_col), "field_name")
+
+
+def garbled(df: DataFrame, id_col: str, text_cols: Sequence[str], learned: tuple[Cipher, DataFrame] | None = None) -> DataFrame:
+    """(id, field_name, sources, learned, restored, complete): one row per value that holds wrongly decoded text.
+
+    ``restored`` is the value with every word put right that can be; ``learned`` tells whether all its letters came
+    from tables as they were learned, and ``complete``
     is false where signs of a lost original remain, as U+FFFD. Null, empty and correct
     values give no row; each repeated row gives its own. Values are read whole.
     """
-    cipher = cipher or learn(df, id_col, text_cols)
+    words = ciphered_words(df, id_col, text_cols, learned)
+    words = words.groupBy("id", "field_name", "h").agg(F.collect_list(F.struct("word", "source", "reading", "learned")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            row, sources, restored, complete = [], [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                found = cipher.examine(text)
-                if not found:
-                    continue
+            restored, complete, sources, sure = [], [], [], []
+            for text, told in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                reading = {w["word"]: w["reading"] for w in sorted(told, key=lambda w: w["source"] is not None)}
                 out, last = [], 0
-                for a, b, _, reading in found:
-                    out += [text[last:a], reading]
-                    last = b
+                for a, b in words_beyond_ascii(text):
+                    if text[a:b] in reading:
+                        out += [text[last:a], reading[text[a:b]]]
+                        last = b
                 out = "".join([*out, text[last:]])
-                row.append(k), restored.append(out), complete.append(not BROKEN.search(out))
-                sources.append(sorted({f"{s[1]} as {s[0]}" for _, _, s, _ in found if s}))
-            at = pa.array(row, pa.int64())
+                restored.append(out), complete.append(not BROKEN.search(out))
+                sources.append(sorted({" as ".join(w["source"].split("|")[::-1]) for w in told if w["source"]}))
+                sure.append(all(w["learned"] for w in told))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").take(at), batch.column("field_name").take(at), pa.array(sources, pa.list_(pa.string())),
+                    batch.column("id"), batch.column("field_name"), pa.array(sources, pa.list_(pa.string())), pa.array(sure, pa.bool_()),
                     pa.array(restored, pa.string()), pa.array(complete, pa.bool_()),
                 ],
-                ["id", "field_name", "sources", "restored", "complete"],
+                ["id", "field_name", "sources", "learned", "restored", "complete"],
             )
 
-    rows = _stacked(df, id_col, text_cols, True)
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, field_name string, sources array<string>, restored string, complete boolean"
+    rows = _values_of(df, id_col, text_cols, words, "inner").select("id", "field_name", "text", "words")
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, field_name string, sources array<string>, learned boolean, restored string, complete boolean"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -18,7 +18,7 @@ NEAR = {"similarity": (7, 10), "min_words": 30}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_restored(spark, sf_dir).select("row_id", "field_name")
+    return encodings.found(table(spark, sf_dir, "spotify_songs"), "row_id", ("lyrics", "track_artist"))
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:

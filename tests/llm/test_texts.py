@@ -47,12 +47,38 @@ def test_known_swaps_are_found_and_undone(spark):
 def test_table_of_an_unknown_page_is_learned(spark):
     secret = str.maketrans("áéíóúñ", "⌬⍟◬◭⌖⍚")
     df = _songs(spark, lambda k, s: s.translate(secret) if k % 6 == 0 else s)
-    cipher = encodings.learn(df, "row_id", ["lyrics"])
-    assert cipher.table and all(secret[ord(v)] == k for k, v in cipher.table.items())
-    got = {r.row_id for r in encodings.garbled(df, "row_id", ["lyrics"], cipher).collect()}
+    learned = encodings.learn(df, "row_id", ["lyrics"])
+    table = learned[0].tables[encodings.UNKNOWN]
+    assert table and all(secret[ord(v)] == ord(k) for k, v in table.items())
+    got = {r.row_id for r in encodings.garbled(df, "row_id", ["lyrics"], learned).collect()}
     assert got == {k for k in range(300) if k % 6 == 0}
 
 
+def test_tables_of_suspected_pages_are_learned(spark):
+    df = _songs(spark, lambda k, s: s.encode("cp1252").decode("cp437") if k % 4 == 0 else s)
+    cipher, _ = encodings.learn(df, "row_id", ["lyrics"])
+    table = cipher.tables["cp437", "cp1252"]
+    assert table and all(x.encode("cp437").decode("cp1252") == c for x, c in table.items())
+    got = {r.row_id: r.restored for r in encodings.garbled(df, "row_id", ["lyrics"]).collect()}
+    assert got == {k: _song(k) for k in range(300) if k % 4 == 0}
+
+
+@pytest.mark.parametrize(("shown", "true"), encodings.SOURCES)
+def test_symbols_are_what_is_deciphered(shown, true):
+    for word in ("corazÃ³n", "Ã¡rbol’", "РїСЂРёРІРµС‚", "‚±‚ñ‚É", "ŒŽ", "caf‚", "æ–‡å­—", "año", "àáâ"):
+        parts, text = encodings.symbols(word, shown, true), encodings.decipher(word, shown, true)
+        if parts is not None:
+            assert "".join(c for _, c in parts) == (text or word) and "".join(x for x, _ in parts) == word
+
+
+def test_found_has_the_rows_of_the_restored(spark):
+    df = _songs(spark, lambda k, s: s.encode("utf-8").decode("latin-1") if k in (3, 5) else s)
+    df = df.unionByName(df.filter("row_id = 3")).unionByName(df.filter("row_id = 5").withColumn("row_id", F.lit(None).cast("long")))
+    got = [tuple(r) for r in encodings.found(df, "row_id", ["lyrics"]).collect()]
+    assert sorted(got, key=str) == sorted(((r.row_id, r.field_name) for r in encodings.garbled(df, "row_id", ["lyrics"]).collect()), key=str)
+    assert sorted(str(a) for a, _ in got) == ["3", "3", "5", "None"]
+
+
 def test_rare_but_correct_signs_are_no_case(spark):
     odd = {7: "L’Âme de João, Ærø 50 % — «no» ♫ 👩‍🎤 … naïve", 8: "JOÃO E OS ANÕES", 9: "", 10: None, 11: " ", 12: "a" * 300000 + "é"}
     df = _songs(spark, lambda k, s: odd.get(k, s))
