@@ -408,11 +408,11 @@ class Cipher:
             text = "".join([self.changed[source].get(a, b) for a, b in symbols(word, *source)])
         return text
 
-    def read(self, word: str) -> tuple[float, tuple[str, str] | None, str]:
-        """(log odds before the prior, source, reading) of the likeliest source; odds of 0 if the word is better as it is."""
-        got, score = (0.0, None, word), self.bigrams.score
+    def read(self, word: str) -> tuple[float, tuple[str, str] | None, str, float]:
+        """(log odds before the prior, source, reading, most) of the likeliest source; odds of 0 if the word is better as it is. ``most`` are the highest odds of any, also below 0."""
+        got, score, most = (0.0, None, word), self.bigrams.score, -math.inf
         if self.bigrams.rarest(word) >= -6.5:
-            return got
+            return *got, most
         base, best = score(word), -math.inf
         shaped = SHAPED.search(word) or word[0] > "\u03ff" or not PAGE_SETS["latin-1"].issuperset(word)
         for source in SOURCES:
@@ -427,6 +427,7 @@ class Cipher:
                     break
                 text = again
             odds = score(text) - base
+            most = max(most, odds)
             if odds > 0 and odds + self.priors[source] > best:
                 got, best = (odds, source, text), odds + self.priors[source]
         if any(c in LEFT_OF for c in word):
@@ -439,7 +440,7 @@ class Cipher:
             odds = score(text) - base
             if text != word and odds > 0:
                 got = (odds, UNKNOWN, text)
-        return got
+        return *got, max(most, got[0]) if got[1] else most
 
     def learned(self, word: str, source: tuple[str, str]) -> bool:
         """Whether all letters a source reads in a word come from its learned table."""
@@ -529,10 +530,11 @@ def wide_words(values: DataFrame) -> DataFrame:
     return values.select("id", "field_name", F.xxhash64("text").alias("h"), F.explode(words).alias("word"))
 
 
-def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int = 2, rare: float = 1e-4) -> tuple[Cipher, DataFrame]:
-    """EM over all values of ``text_cols``: what was learned, and (word, n), the different words beyond ASCII; staged.
+def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int = 3, rare: float = 1e-4) -> tuple[Cipher, DataFrame]:
+    """EM over all values of ``text_cols``: what was learned, and (word, n), the different words beyond ASCII that may be ciphered; staged.
 
-    The texts are read once for the counts of pairs and once for the words; rounds then go over the different words. The driver
+    The texts are read once for the counts of pairs and once for the words; rounds then go over the different words, and leave out
+    for the next those with log odds of less than -5 for every source, without signs between letters or signs of lost text. The driver
     gets counts of pairs of characters and of symbols between letters, as many as alphabets have.
     """
     got = _stacked(df, id_col, text_cols, False).select("text").mapInArrow(_count, "a long, b long, n long")
@@ -542,10 +544,11 @@ def learn(df: DataFrame, id_col: str, text_cols: Sequence[str], *, rounds: int =
     # few bytes, but much work each: over all cores
     words = stage(words.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)), "words")
     n_words = max(1, words.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0])
-    cipher = Cipher(Bigrams(pairs, singles), dict.fromkeys([*SOURCES, LOST, UNKNOWN], math.log(rare)))
+    cipher = Cipher(Bigrams(pairs, singles), dict.fromkeys([*SOURCES, LOST, UNKNOWN], math.log(10 * rare)))
     for _ in range(rounds):
-        moved = words.mapInArrow(_expected(cipher), "what string, source string, a string, b string, c string, n double")
-        moved = moved.groupBy("what", "source", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
+        got = stage(words.mapInArrow(_expected(cipher), "what string, source string, a string, b string, c string, n double"), "expected")
+        words = got.filter("what = 'open'").select(F.col("a").alias("word"), "n")
+        moved = got.filter("what <> 'open'").groupBy("what", "source", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
         new_pairs, new_singles, words_of = Counter(pairs), Counter(singles), Counter()
         contexts: dict[tuple, dict] = {}
         for r in moved:
@@ -590,7 +593,7 @@ def _expected(cipher: Cipher):
 
         for batch in bounded(batches, "word"):
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                odds, source, reading = cipher.read(word)
+                odds, source, reading, most = cipher.read(word)
                 chance = 1 / (1 + math.exp(min(50.0, -odds - cipher.priors[source]))) if source else 0.0
                 shaped = SHAPED.search(word)  # such sequences were not counted
                 if shaped and chance < 0.99:
@@ -608,9 +611,12 @@ def _expected(cipher: Cipher):
                             c = parts[k][1]
                             if parts[k][0] != c and kind(c) == c:  # letters of large scripts are not told apart by their neighbours
                                 moved["context", name, kind(letters[k - 1][-1:] or EDGE), parts[k][0], kind(letters[k + 1][:1] or EDGE)] += n * chance
+                signs = _signs_within(word)
                 if chance < 0.5 or source == UNKNOWN:
-                    for a, c, b in _signs_within(word):
+                    for a, c, b in signs:
                         moved["context", "|".join(UNKNOWN), a, c, b] += n
+                if signs or shaped or most > -5 or BROKEN.search(word):
+                    moved["open", "", word, "", ""] = n
         keys = list(moved)
         yield pa.RecordBatch.from_arrays(
             [*(pa.array([k[j] for k in keys], pa.string()) for j in range(5)), pa.array([moved[k] for k in keys], pa.float64())], ["what", "source", "a", "b", "c", "n"]
@@ -626,7 +632,7 @@ def _readings(cipher: Cipher, near: float) -> Callable:
         for batch in bounded(batches, "word"):
             out = []
             for word in batch.column("word").to_pylist():
-                odds, source, reading = cipher.read(word)
+                odds, source, reading, _ = cipher.read(word)
                 if source and odds > (4 * near if source[0] in CYRILLIC and source[1] in CYRILLIC else near):
                     out.append((word, "|".join(source), odds, reading, cipher.learned(word, source)))
                 if BROKEN.search(word):
