@@ -112,11 +112,11 @@ def p9_held_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "end_pos")
+    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "end_pos")
 
 
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=True)
+    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", with_text=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

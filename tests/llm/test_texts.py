@@ -319,3 +319,13 @@ def test_sentence_ends_are_in_order_and_cover_the_text(text):
     ends = sentences.sentence_ends(text)
     assert ends == sorted(set(ends))
     assert not text[ends[-1] if ends else 0 :].strip(sentences.BLANKS + "\n")
+
+
+def test_tables_of_a_language_come_first():
+    at = lambda text, lang: sentences.sentence_ends(text, lang)
+    assert at("Ich weiß es. Dann ging ich.", "de") == [12, 27]  # an abbreviation in Italian
+    assert at("Am 3. März sang Hr. Meier.", "de") == [26] and at("Am 3. März sang Hr. Meier.", "fr") == [26]  # labels can be wrong
+    for lang in (None, "en", "xx"):
+        for n in (1, 40, 60, 500):
+            assert at("He went home." + " " * n + "Then he slept.", lang) == [13, 27 + n]
+    assert [name for name, _ in sentences.cascade("de")].index("de") < [name for name, _ in sentences.cascade("de")].index("others")
