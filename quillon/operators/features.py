@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import importlib.util
 import io
+import struct
 import wave
 from collections.abc import Callable, Iterator
 
@@ -211,7 +212,7 @@ def extract(rows: DataFrame, path_col: str, medium: str, method: str) -> DataFra
             for path in batch.column("path").to_pylist():
                 try:
                     value = np.atleast_2d(function(file_content(path)))
-                except Exception:  # not there, or not readable as what it should be
+                except (OSError, EOFError, ValueError, IndexError, wave.Error, struct.error):  # not there, or not readable as what it should be
                     continue
                 paths += [path] * len(value)
                 found += [v.astype(np.float32) for v in value]

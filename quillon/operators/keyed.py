@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import number, stripped
+from quillon.runtime import stage
 
 #: Names a table's access kind can be given by, and the kind.
 KINDS = {
@@ -35,19 +36,62 @@ def col_of(df: DataFrame, column: str | int) -> Column:
     return F.col(f"`{resolve(df, column)}`")
 
 
-def laid_out(df: DataFrame, kind: str, key: str | int, partitions: int | None = None) -> DataFrame:
-    """The layout of an access kind: hashed by the key, or ranged and sorted by it.
+#: Columns a written layout has besides the table's own: the key as stripped text, as a number, its bucket, its place on a curve.
+KEY, NUMBER, BUCKET, CURVE = "_q_key", "_q_number", "_q_bucket", "_q_curve"
 
-    Written as Parquet, a ranged layout lets row-group statistics skip all but the rows
-    asked for. Numbers sort as numbers for ``btree``, else values sort as strings.
+
+def _curve(lat: Column, lon: Column) -> Column:
+    """The place on a Z-order curve over the globe, so that rows next to each other in a file lie next to each other on it."""
+
+    def spread(x: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    step = lambda c, top: F.floor((c + top) / (2 * top) * 65535).cast("long")
+    return F.shiftleft(spread(step(lat, 90.0)), 1).bitwiseOR(spread(step(lon, 180.0)))
+
+
+def stored(df: DataFrame, kind: str, key: str, buckets: int = 64, arrange: bool = True) -> DataFrame:
+    """The table written in the layout of its kind and read back, with helper columns for :func:`narrowed`.
+
+    A hash has a folder a bucket, which an equality prunes to one; sequential, isam and btree are ranged and sorted by the key, and
+    rtree (``key`` names latitude and longitude) by a curve over the globe, so that the statistics of row groups rule out nearly all of them. Without
+    ``arrange`` rows are written as they come, as for a few that are added.
     """
-    c = col_of(df, key)
-    if kind == "hash":
-        return df.repartition(partitions, c) if partitions else df.repartition(c)
-    if kind in ("sequential", "isam", "btree"):
-        order = [number(c).asc_nulls_last(), c] if kind == "btree" and dict(df.dtypes)[resolve(df, key)] == "string" else [c]
-        ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-        return ranged.sortWithinPartitions(*order)
+    if kind == "rtree":
+        lat, lon = key.split(",")
+        out, order = df.withColumn(CURVE, _curve(F.col(f"`{lat}`"), F.col(f"`{lon}`"))), [F.col(CURVE)]
+    else:
+        c = col_of(df, key)
+        out, order = df.withColumn(KEY, stripped(c)), [F.col(KEY)]
+        if kind == "btree":
+            out = out.withColumn(NUMBER, number(c) if dict(df.dtypes)[resolve(df, key)] == "string" else c.try_cast("double"))
+            order = [F.col(NUMBER).asc_nulls_last(), F.col(KEY)]
+        elif kind == "hash":
+            out = out.withColumn(BUCKET, F.pmod(F.xxhash64(KEY), F.lit(buckets)).cast("int"))
+    if arrange:
+        out = out.repartition(BUCKET) if kind == "hash" else out.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(out, kind, [BUCKET] if kind == "hash" else [])
+
+
+def narrowed(df: DataFrame, key: str | None, column: str | int, value: Any, high: Any = None, buckets: int = 64) -> DataFrame:
+    """The rows of a layout that can equal the value, or lie from it to ``high``; all of them where the layout cannot tell.
+
+    Only plain comparisons with literals, which prune folders and reach the scan.
+    """
+    if key is None or resolve(df, column) != key:
+        return df
+    kind = dict(df.dtypes)[key]
+    try:
+        numbers = [float(str(v).strip()) for v in (value, value if high is None else high)]
+    except ValueError:
+        numbers = None
+    if NUMBER in df.columns and numbers:
+        return df.filter(F.col(NUMBER).between(*numbers))
+    if high is None and KEY in df.columns and (kind == "string" or isinstance(value, str) or isinstance(value, int) and kind in ("int", "bigint", "smallint", "tinyint")):
+        df = df.filter(F.col(KEY) == str(value).strip())
+        return df.filter(F.col(BUCKET) == F.pmod(F.xxhash64(F.lit(str(value).strip())), F.lit(buckets)).cast("int")) if BUCKET in df.columns else df
     return df
 
 
@@ -141,5 +185,8 @@ def page(df: DataFrame, order: Sequence[Column], number_of: int, size: int = 100
 
 
 def layout_stats(df: DataFrame) -> DataFrame:
-    """(partition, n): how many rows each partition of the layout holds."""
-    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+    """(partition, n): how many rows each bucket, or else each file, of a written layout holds, files numbered in order of their names."""
+    if BUCKET in df.columns:
+        return df.groupBy(F.col(BUCKET).alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+    files = df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return files.select((F.row_number().over(Window.orderBy("file")) - 1).alias("partition"), "n")  # a row a file

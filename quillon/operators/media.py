@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,17 +73,27 @@ def histograms(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(f"`{id_col}`").alias("id"), h.alias("histogram"))
 
 
-def nearest_word(vector: Column, centroids: Sequence[Sequence[float]]) -> Column:
-    """The number of the closest centroid, the first of equally close ones."""
-    v = vector.cast("array<double>")
-    d2 = lambda c: F.aggregate(F.zip_with(v, _array(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    distances = F.array(*[F.struct(d2(c).alias("d"), F.lit(k).alias("word")) for k, c in enumerate(centroids)])
-    return F.array_min(distances)["word"]
-
-
 def assigned_words(df: DataFrame, id_col: str, descriptor_col: str, centroids: Sequence[Sequence[float]]) -> DataFrame:
-    """(id, word) of each descriptor."""
-    return df.select(F.col(f"`{id_col}`").alias("id"), nearest_word(F.col(f"`{descriptor_col}`"), centroids).alias("word"))
+    """(id, word) of each descriptor: the number of the closest centroid, the first of equally close ones; null for a null or one of another length.
+
+    One matrix product a batch; the centroids, words times columns, go to the workers.
+    """
+    c = np.asarray(centroids, np.float64).reshape(len(centroids), -1)
+    half = np.einsum("ij,ij->i", c, c) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            fits = pc.fill_null(pc.equal(pc.list_value_length(v), c.shape[1]), False).to_numpy(zero_copy_only=False)
+            x = v.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, c.shape[1])
+            words = np.zeros(len(v), np.int32)
+            at = np.flatnonzero(fits)
+            for a in range(0, len(at), 4096):
+                words[at[a : a + 4096]] = (half - x[a : a + 4096] @ c.T).argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, mask=~fits)], ["id", "word"])
+
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{descriptor_col}`").cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, word int")
 
 
 def bag_of_words(words: DataFrame, n_words: int) -> DataFrame:

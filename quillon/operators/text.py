@@ -192,11 +192,16 @@ def build_index(df: DataFrame, id_col: str, fields: Sequence[str], analyzer: str
         raise ValueError(f"none of {list(fields)} is a column")
     needed = df.select(id_col, *[c for c in present if c != id_col]).repartition(id_col)
     counts = stage(term_counts(tokens(needed, id_col, present, analyzer, language)), "counts")
+    return index_counts(counts, present, analyzer, language)
+
+
+def index_counts(counts: DataFrame, fields: Sequence[str], analyzer: str = "simple", language: str = "spanish") -> TextIndex:
+    """The index over staged counts (doc_id, term, n, total)."""
     frequencies = stage(document_frequencies(counts), "frequencies")
     n_docs = counts.select("doc_id").distinct().count()
     weighted = weights(counts, n_docs, frequencies)
     postings = stage(weighted.join(norms(weighted), "doc_id"), "postings")
-    return TextIndex(postings, frequencies, n_docs, present, analyzer, language)
+    return TextIndex(postings, frequencies, n_docs, tuple(fields), analyzer, language)
 
 
 def query_weights(index: TextIndex, query: str) -> dict[str, float]:

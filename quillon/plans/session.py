@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,14 @@ class Table:
     index: Any = None
     path: str | None = None
     id_col: str | None = None
+    #: the rows in the layout of their kind, see :func:`keyed.stored`, and how many changes were made to it since it was written
+    stored: DataFrame | None = None
+    changes: int = 0
+
+    @property
+    def key_column(self) -> str | None:
+        """The one key column of a table in a layout."""
+        return None if self.stored is None or self.kind == "rtree" else self.key
 
 
 class Session:
@@ -53,14 +61,25 @@ class Session:
         return t
 
     def register(self, name: str, rows: DataFrame, kind: str = "sequential", key: str | int | None = None) -> Table:
-        """A keyed table over rows at hand. Its kind gives the order of scans and the meaning of ranges."""
+        """A keyed table of these rows, written in the layout of its kind, which also gives the order of scans and the meaning of ranges."""
         kind = keyed.KINDS.get(kind.lower())
         if kind is None:
             raise ValueError(f"kinds are {sorted(keyed.KINDS)}")
         if kind == "rtree":
             lat, lon = spatial.coordinate_columns(rows)
-            return self._put(Table(name, kind, spatial.places(rows, lat, lon), f"{lat},{lon}"))
-        return self._put(Table(name, kind, rows, keyed.resolve(rows, key if key is not None else 0)))
+            return self._store(Table(name, kind, spatial.places(rows, lat, lon), f"{lat},{lon}"))
+        return self._store(Table(name, kind, rows, keyed.resolve(rows, key if key is not None else 0)))
+
+    def _store(self, t: Table) -> Table:
+        return self._put(self._with(t, keyed.stored(t.rows, t.kind, t.key)))
+
+    @staticmethod
+    def _with(t: Table, stored: DataFrame, changes: int = 0) -> Table:
+        return replace(t, rows=stored.select(*[F.col(f"`{c}`") for c in t.rows.columns]), stored=stored, changes=changes)
+
+    def compact(self, name: str) -> Table:
+        """Write a table anew, without the rows that were deleted and with those added in their place."""
+        return self._store(self.table(name))
 
     def register_text(self, name: str, rows: DataFrame, fields: Sequence[str], id_col: str | None = None, analyzer: str = "simple", language: str = "spanish") -> Table:
         """A text table; without an id column rows get one, kept apart from theirs."""
@@ -103,13 +122,14 @@ class Session:
         t = self.table(name)
         if t.kind == "text":
             return text.index_stats(t.index)
-        return media.index_stats(t.index) if t.kind == "media" else keyed.layout_stats(keyed.laid_out(t.rows, t.kind, t.key.split(",")[0]))
+        return media.index_stats(t.index) if t.kind == "media" else keyed.layout_stats(t.stored)
 
     def save(self, folder: str) -> None:
         """Write all tables and indices below a folder."""
         about = []
         for t in self.tables.values():
-            t.rows.write.mode("overwrite").parquet(f"{folder}/{t.name}/rows")
+            kept = t.rows if t.stored is None else t.stored
+            sources.write_parquet(kept, f"{folder}/{t.name}/rows", [keyed.BUCKET] if keyed.BUCKET in kept.columns else [])
             if t.index is not None:
                 t.index.save(f"{folder}/{t.name}/index")
             about.append((t.name, t.kind, t.key, t.id_col))
@@ -122,7 +142,9 @@ class Session:
         for r in spark.read.parquet(f"{folder}/_catalog").collect():
             base = f"{folder}/{r['name']}"
             index = kinds[r["kind"]].load(spark, f"{base}/index") if r["kind"] in kinds else None
-            out._put(Table(r["name"], r["kind"], spark.read.parquet(f"{base}/rows"), r["key"], index, id_col=r["id_col"]))
+            rows = spark.read.parquet(f"{base}/rows")
+            own = rows.select(*[F.col(f"`{c}`") for c in rows.columns if not c.startswith("_q_")])
+            out._put(Table(r["name"], r["kind"], own, r["key"], index, id_col=r["id_col"], stored=rows if r["kind"] in keyed.KINDS.values() else None))
         return out
 
     # statements
@@ -164,12 +186,14 @@ class Session:
 
     def _where(self, t: Table, rows: DataFrame, w: P.Compare) -> DataFrame:
         if w.op == "=":
+            rows = keyed.narrowed(rows, t.key_column, w.column, w.value)
             return keyed.equal_number(rows, w.column, w.value) if t.kind == "btree" or isinstance(w.value, (int, float)) else keyed.equal(rows, w.column, w.value)
         c = keyed.col_of(rows, w.column)
         if w.op == "between":
             numeric = isinstance(w.value, (int, float)) and isinstance(w.high, (int, float)) and t.kind not in ("sequential", "isam")
             if t.kind == "hash" and keyed.resolve(rows, w.column) == t.key:
                 raise ValueError("a hash table has no range search")
+            rows = keyed.narrowed(rows, t.key_column, w.column, w.value, w.high) if numeric else rows
             return keyed.between_numbers(rows, w.column, w.value, w.high) if numeric else keyed.between_strings(rows, w.column, w.value, w.high)
         key = functions.number(c) if isinstance(w.value, (int, float)) else c.cast("string")
         v = F.lit(w.value)
@@ -183,7 +207,7 @@ class Session:
         special = [w for w in s.where if not isinstance(w, P.Compare)]
         if len(special) > 1:
             raise ValueError("one search a statement")
-        rows, extra, order, limit = t.rows, [], [], s.limit
+        rows, extra, order, limit = t.rows if t.stored is None else t.stored, [], [], s.limit
         for w in special:
             if isinstance(w, P.TextMatch):
                 if t.kind != "text":
@@ -239,8 +263,15 @@ class Session:
         found = found.withColumn("similarity", F.round("similarity", 4)).withColumnRenamed("id", "path")
         return media.with_metadata(found, t.rows, t.id_col).withColumn(t.id_col, F.col("path"))
 
-    def _change(self, t: Table, rows: DataFrame) -> None:
-        self._put(Table(t.name, t.kind, stage(rows, "version"), t.key, t.index, t.path, t.id_col))
+    def _added(self, t: Table, new: DataFrame) -> None:
+        """Append rows as files of their own."""
+        part = keyed.stored(new, t.kind, t.key, arrange=False)
+        self._changed(t, t.stored.unionByName(part))
+
+    def _changed(self, t: Table, stored: DataFrame, most: int = 32) -> None:
+        changed = self._put(self._with(t, stored, t.changes + 1))
+        if changed.changes >= most:
+            self.compact(t.name)
 
     def _writable(self, name: str) -> Table:
         t = self.table(name)
@@ -250,25 +281,24 @@ class Session:
 
     def _insert(self, s: P.Insert) -> DataFrame:
         t = self._writable(s.table)
-        rows = keyed.insert(t.rows, s.rows)
-        if t.kind == "rtree":
-            if spatial.places(keyed.insert(t.rows.limit(0), s.rows), *t.key.split(",")).count() < len(s.rows):
-                raise ValueError("a row has no place on the globe")
-        self._change(t, rows)
+        new = keyed.insert(t.rows.limit(0), s.rows).coalesce(1)
+        if t.kind == "rtree" and spatial.places(new, *t.key.split(",")).count() < len(s.rows):
+            raise ValueError("a row has no place on the globe")
+        self._added(t, new)
         return self.spark.createDataFrame([(len(s.rows),)], "inserted long")
 
     def _insertseries(self, s: P.InsertSeries) -> DataFrame:
         t = self._writable(s.table)
         first, *rest = t.rows.dtypes
         new = self.spark.range(s.low, s.high + 1).select(F.col("id").cast(first[1]).alias(first[0]), *[F.lit(None).cast(k).alias(c) for c, k in rest])
-        self._change(t, t.rows.unionByName(new))
+        self._added(t, new)
         return self.spark.createDataFrame([(max(0, s.high - s.low + 1),)], "inserted long")
 
     def _delete(self, s: P.Delete) -> DataFrame:
         t = self._writable(s.table)
-        kept, removed = keyed.delete(t.rows, s.column, s.value, t.kind)
-        removed = stage(removed, "removed")
-        self._change(t, kept)
+        near = keyed.narrowed(t.stored, t.key_column, s.column, s.value)
+        removed = stage(keyed.delete(near, s.column, s.value, t.kind)[1].select(*[F.col(f"`{c}`") for c in t.rows.columns]), "removed")
+        self._changed(t, keyed.delete(t.stored, s.column, s.value, t.kind)[0])  # rows stay in their files and are left out of scans
         return removed
 
     def _showtables(self, s: P.ShowTables) -> DataFrame:

@@ -539,6 +539,148 @@ def catalog_tables(spark, d):
     return _session(spark, d, "nation", "region", "part").sql("SHOW TABLES")
 
 
+# tables by kind of access: created from a file, looked up, changed
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+
+
+_PART = "(SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_size::VARCHAR AS p_size FROM part)"
+_PART_COLUMNS = ("p_partkey", "p_name", "p_brand", "p_size")
+
+
+def _created(spark: SparkSession, d: str, kind: str) -> Session:
+    """Parts in a table of a kind, by CREATE TABLE from a CSV file."""
+    path = _folder(spark, "parts")
+    sources.write_csv(table(spark, d, "part").select(*_PART_COLUMNS), path)
+    s = Session(spark)
+    s.sql(f"CREATE TABLE parts FROM FILE '{path}' USING INDEX {kind}(\"p_partkey\")")
+    return s
+
+
+def _by_kind(kind: str) -> None:
+    def create(spark, d):
+        return _created(spark, d, kind).sql("SELECT * FROM parts")
+
+    def equality(spark, d):
+        return _created(spark, d, kind).sql("SELECT * FROM parts WHERE p_partkey = '77'")
+
+    def insert(spark, d):
+        s = _created(spark, d, kind)
+        s.sql("INSERT INTO parts VALUES ('77', 'again', 'Brand#0', '1'), ('990001', 'new', 'Brand#0', '2')")
+        return s.sql("SELECT * FROM parts WHERE p_partkey = '77'").unionByName(s.sql("SELECT * FROM parts WHERE p_partkey = '990001'"))
+
+    def delete(spark, d):
+        s = _created(spark, d, kind)
+        s.sql("DELETE FROM parts WHERE p_partkey = '77'")
+        s.sql("DELETE FROM parts WHERE p_partkey = 'none'")
+        return s.sql("SELECT * FROM parts")
+
+    named = {
+        "create": (create, f"SELECT * FROM {_PART}"),
+        "equal": (equality, f"SELECT * FROM {_PART} WHERE p_partkey = '77'"),
+        "insert": (insert, f"SELECT * FROM {_PART} WHERE p_partkey = '77' UNION ALL VALUES ('77', 'again', 'Brand#0', '1'), ('990001', 'new', 'Brand#0', '2')"),
+        "delete": (delete, f"SELECT * FROM {_PART} WHERE p_partkey <> '77'"),
+    }
+    for what, (function, sql) in named.items():
+        function.__name__ = f"table_{kind}_{what}"
+        query(sql)(function)
+
+
+for _kind in ("sequential", "isam", "hash", "btree"):
+    _by_kind(_kind)
+
+
+@query(f"SELECT * FROM {_PART} WHERE p_partkey BETWEEN '1' AND '19'")
+def table_isam_range(spark, d):
+    return _created(spark, d, "isam").sql("SELECT * FROM parts WHERE p_partkey BETWEEN '1' AND '19'")
+
+
+@query(f"SELECT * FROM {_PART} WHERE p_partkey::INT BETWEEN 5 AND 40")
+def table_btree_range(spark, d):
+    return _created(spark, d, "btree").sql("SELECT * FROM parts WHERE p_partkey BETWEEN 5 AND 40")
+
+
+def _globe(spark: SparkSession, d: str) -> Session:
+    path = _folder(spark, "places")
+    sources.write_csv(_places(spark, d).select("c_custkey", "lat", "lon"), path)
+    s = Session(spark)
+    s.sql(f"CREATE TABLE places FROM FILE '{path}' USING INDEX rtree")
+    return s
+
+
+@query(f"SELECT c_custkey::VARCHAR AS c_custkey, round({_DIST}, 3) AS dist FROM {_PLACES} WHERE {_DIST} <= 2500")
+def table_rtree_create(spark, d):
+    found = _globe(spark, d).sql(f"SELECT c_custkey FROM places WHERE place <-> '({HERE[0]}, {HERE[1]})' < 2500")
+    return found.withColumn("dist", F.round("dist", 3))
+
+
+@query(f"SELECT c_custkey::VARCHAR AS c_custkey FROM {_PLACES} WHERE c_custkey = 77")
+def table_rtree_equal(spark, d):
+    return _globe(spark, d).sql("SELECT c_custkey FROM places WHERE c_custkey = '77'")
+
+
+@query(f"SELECT c_custkey::VARCHAR AS c_custkey FROM {_PLACES} WHERE {_DIST} <= 2500 AND c_custkey <> 77 UNION ALL SELECT 'new'")
+def table_rtree_change(spark, d):
+    s = _globe(spark, d)
+    s.sql(f"INSERT INTO places VALUES ('new', {HERE[0]}, {HERE[1]})")
+    s.sql("DELETE FROM places WHERE c_custkey = '77'")
+    return s.sql(f"SELECT c_custkey FROM places WHERE place <-> '({HERE[0]}, {HERE[1]})' < 2500").select("c_custkey")
+
+
+@query("SELECT n_nationkey::INT AS n_nationkey, n_name FROM nation UNION ALL SELECT generate_series::INT, NULL FROM generate_series(100, 119)")
+def insert_series(spark, d):
+    s = Session(spark)
+    s.register("nation", table(spark, d, "nation").select("n_nationkey", "n_name"), "btree")
+    s.sql("INSERT INTO nation SELECT generate_series(100, 119)")
+    return s.sql("SELECT * FROM nation")
+
+
+# files
+
+
+@query("SELECT id::VARCHAR AS id, coalesce(productdisplayname, '') AS productdisplayname, coalesce(season, '') AS season FROM fashion_complete_dataset")
+def csv_round_trip(spark, d):
+    path = _folder(spark, "csv")
+    sources.write_csv(table(spark, d, "fashion_complete_dataset").select("id", "productdisplayname", "season"), path)
+    return sources.read_csv(spark, path)
+
+
+@query("SELECT id::BIGINT AS id, productdisplayname, season FROM fashion_complete_dataset")
+def json_round_trip(spark, d):
+    path = _folder(spark, "json")
+    sources.write_json(table(spark, d, "fashion_complete_dataset").select("id", "productdisplayname", "season"), path)
+    return sources.read_json(spark, path).select("id", "productdisplayname", "season")
+
+
+@query("SELECT * FROM (VALUES ('a.txt', 'one'), ('b.txt', 'two')) t(name, subdirectory)")
+def directory_source(spark, d):
+    folder = _folder(spark, "files")
+    where, base = pa_fs.FileSystem.from_uri(folder)
+    for name in ("one/a.txt", "two/b.txt", "two/c.wav"):
+        where.create_dir(f"{base}/{name.split('/')[0]}")
+        with where.open_output_stream(f"{base}/{name}") as out:
+            out.write(name.encode())
+    return sources.read_files(spark, folder, "*.txt", content=False).select("name", "subdirectory")
+
+
+@query("SELECT 'fashion_complete_dataset' AS name, 'image_path' AS path_column UNION ALL SELECT 'fma_complete_dataset', 'audio_path' UNION ALL SELECT 'media_features', 'media_path'")
+def media_path_columns(spark, d):
+    names = ("fashion_complete_dataset", "fma_complete_dataset", "media_features")
+    return spark.createDataFrame([(n, media.path_column(table(spark, d, n))) for n in names], "name string, path_column string")
+
+
+@query("""WITH v AS (SELECT vec_id, feature::DOUBLE[] AS v FROM media_features WHERE medium = 'image' AND len(feature) = 128 AND len(list_filter(feature, lambda x: isnan(x))) = 0),
+c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS word, v AS c FROM (SELECT * FROM v ORDER BY vec_id LIMIT 256)),
+near AS (SELECT vec_id, word, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(v, c), 6), word) AS r FROM v CROSS JOIN c)
+SELECT vec_id, word::INT AS word FROM near WHERE r = 1""")
+def words_of_256(spark, d):
+    rows = table(spark, d, "media_features").filter("medium = 'image' and size(feature) = 128 and not exists(feature, x -> isnan(x))")
+    words = [r["feature"] for r in rows.orderBy("vec_id").limit(256).collect()]
+    return media.assigned_words(rows, "vec_id", "feature", words).withColumnRenamed("id", "vec_id")
+
+
 # rows that fail to parse
 
 _P7_SQL = """WITH raw AS (SELECT line_no, coalesce(raw_line, '') AS r FROM styles_raw),

@@ -10,7 +10,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from pathlib import Path
 from typing import Any
 
 import numpy as np
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 _staged: list[tuple[Any, str]] = []
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "quillon", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,34 +37,63 @@ def build_session(app: str = "quillon", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
     } | conf
-    return builder.config(map=settings).getOrCreate()
+    session = builder.config(map=settings).getOrCreate()
+    ship(session)
+    return session
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, which need not have it installed; once a session."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        root = Path(__file__).parent
+        target = Path(tempfile.mkdtemp(prefix="quillon-package-")) / "quillon.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(target))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The shared folder: ``spark.checkpoint.dir``. Where that is unset, one of our own on a local master; a cluster must name one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
         spark.sparkContext.setCheckpointDir(_own_dirs[app])
     return _own_dirs[app]
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` below the shared folder and read it back; cuts lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_all() -> None:
-    """Delete every staged table of sessions that are still alive."""
-    while _staged:
-        spark, path = _staged.pop()
+@contextmanager
+def released() -> Iterator[None]:
+    """Delete, at the end of the block, all that was staged in it, so that a long session need not fill the shared folder."""
+    before = {path for _, path in _staged}
+    try:
+        yield
+    finally:
+        release_all({path for _, path in _staged} - before)
+
+
+def release_all(paths: set[str] | None = None) -> None:
+    """Delete the staged tables at these paths, or every one, of sessions that are still alive."""
+    gone = [x for x in _staged if paths is None or x[1] in paths]
+    _staged[:] = [x for x in _staged if x not in gone]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

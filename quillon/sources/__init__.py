@@ -12,14 +12,16 @@ from pyspark.sql import types as T
 from quillon.functions import basename
 
 
-def read_csv(spark: SparkSession, path: str, *, typed: bool = False, encoding: str = "UTF-8", sep: str = ",", tolerant: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, *, typed: bool = False, encoding: str = "UTF-8", sep: str = ",", tolerant: bool = False, multiline: bool = True) -> DataFrame:
     """A CSV file with a header line; quoted line breaks are kept within their field.
 
+    A file whose fields hold no line break can be read in parts, by many tasks, with ``multiline`` off; else a file is one task.
+
     All columns are strings, with empty cells as '' and missing ones as '' too, or
     ``typed`` by their contents. ``tolerant`` drops malformed rows; else they load with
     the cells they have.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("quote", '"')
     reader = reader.option("encoding", encoding).option("sep", sep).option("mode", "DROPMALFORMED" if tolerant else "PERMISSIVE")
     df = reader.option("inferSchema", typed).csv(path)
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.strip()])
@@ -69,7 +71,8 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*", content: bo
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Write as CSV with a header line; quotes are doubled."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -99,14 +102,15 @@ def series(spark: SparkSession, n: int, **columns: Column) -> DataFrame:
 
 
 def example_products(spark: SparkSession, n: int = 100) -> DataFrame:
-    """Invented products (id, name, category, price, rating, description), the same on every run."""
-    share = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) / 1e6
-    kinds = F.array(*[F.lit(c) for c in ("Electronics", "Clothing", "Books", "Sports")])
+    """Invented shelf goods (id, name, category, price, rating, description), the same on every run."""
+    pick = lambda salt, words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
+    share = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000)) / 1000
+    colour, thing = pick(1, ("red", "green", "slate", "ivory", "plain")), pick(2, ("lamp", "kettle", "stool", "basket", "clock", "rug"))
     return series(
         spark, n,
-        name=F.concat(F.lit("Product_"), F.col("id")),
-        category=F.element_at(kinds, (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) + 1).cast("int")),
-        price=F.round(10 + 990 * share(2), 2),
-        rating=F.round(1 + 4 * share(3), 1),
-        description=F.concat(F.lit("Description of product "), F.col("id")),
+        name=F.concat_ws(" ", colour, thing, F.col("id")),
+        category=pick(3, ("kitchen", "light", "floor")),
+        price=F.round(4 + 196 * share(4) * share(5), 2),
+        rating=F.round(5 - 3 * share(6) * share(7), 1),
+        description=F.concat(F.lit("A "), colour, F.lit(" "), thing, F.lit(" for the house")),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.operators import text
+from quillon.runtime import stage
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -42,9 +43,7 @@ def ingest(documents: DataFrame, id_col: str, fields: Sequence[str], counts_path
 
 
 def index_of(spark: SparkSession, counts_path: str, fields: Sequence[str], analyzer: str = "simple", language: str = "spanish") -> text.TextIndex:
-    """The index over all counts taken in so far."""
-    counts = spark.read.parquet(counts_path).drop("batch")
-    frequencies = text.document_frequencies(counts)
-    n_docs = counts.select("doc_id").distinct().count()
-    weighted = text.weights(counts, n_docs, frequencies)
-    return text.TextIndex(weighted.join(text.norms(weighted), "doc_id"), frequencies, n_docs, tuple(fields), analyzer, language)
+    """The index over all counts taken in so far, staged. Of a document that arrived more than once the latest batch counts."""
+    counts = spark.read.parquet(counts_path)
+    latest = counts.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return text.index_counts(stage(counts.join(latest, ["doc_id", "batch"]).drop("batch"), "counts"), fields, analyzer, language)

@@ -54,7 +54,7 @@ def test_project_scan_page_and_layout(spark):
     assert [r.n for r in keyed.scan(df, "btree", "n").collect()] == [1, 2, 10]
     assert [r.n for r in keyed.scan(df, "isam", "n").collect()] == [1, 10, 2]
     assert [r.k for r in keyed.page(df, [F.col("k")], 1, 2).collect()] == ["c"]
-    assert sum(r.n for r in keyed.layout_stats(keyed.laid_out(df, "btree", "k", 2)).collect()) == 3
+    assert sum(r.n for r in keyed.layout_stats(keyed.stored(df, "btree", "k")).collect()) == 3
     assert keyed.scan(df.limit(0)).count() == 0
 
 
