@@ -194,7 +194,7 @@ def clusters(
     pivots = stage(rows.join(heads, "id", "left_semi"), "heads")
     index = V.fit_index(pivots, sample=sample, block=block)
     asking = rows.join(heads, "id", "left_anti")
-    wanted = measured(pivots, asking, index, k=1, recall=0.995, least=2, min_cosine=threshold)
+    wanted = measured(pivots, asking, index, k=1, recall=0.995, least=2, min_cosine=threshold, asked=2048)
     close = search(pivots, asking, index, k=1, probes=wanted, min_cosine=threshold)
     close = close.select(F.col("a").alias("id"), F.col("b").alias("near"))
     moved = joined.join(heads, "id", "left_anti").join(close, "id", "full")
