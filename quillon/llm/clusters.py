@@ -192,7 +192,8 @@ def clusters(
     joined = assign(rows, threshold=threshold, probes=probes, sample=sample, block=block)
     heads = joined.select(F.col("pivot").alias("id")).distinct()
     pivots = stage(rows.join(heads, "id", "left_semi"), "heads")
-    index = V.fit_index(pivots, sample=sample, block=block)
+    # few pivots for many rows: lists close to each other share a cell, so that a row is sent to few
+    index = V.fit_index(pivots, sample=sample, block=min(block, 1024), grouped=True)
     asking = rows.join(heads, "id", "left_anti")
     wanted = measured(pivots, asking, index, k=1, recall=0.995, least=2, min_cosine=threshold, asked=2048)
     close = search(pivots, asking, index, k=1, probes=wanted, min_cosine=threshold)

@@ -19,29 +19,62 @@ from quillon.runtime import stage
 BROADCAST_IDS = 500_000
 
 
-def _placer(index: V.Index, probes: int | Mapping[str, int], role: int, salt: int, part: int = 1 << 16):
-    """(cell, role, id, vec, least) of each row: role 0 once, in its closest list; role 1 once in every cell of its probed lists."""
+#: Queries of one cell that are searched by one task; a cell that more of them visit is held in as many copies as they need.
+VISITS = 16_384
+
+
+def _visited(index: V.Index, g: str, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the cells of the probed lists of each row, each once."""
+    cells = int((index.cells + index.blocks).max(initial=1))
+    lists = index.nearest(g, x, probes)
+    at, lists = np.repeat(np.arange(len(lists)), lists.shape[1]), lists.reshape(-1)
+    many = index.blocks[lists]
+    block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.divmod(np.unique(np.repeat(at, many) * cells + np.repeat(index.cells[lists], many) + block), cells)
+
+
+def _copies(index: V.Index, queries: DataFrame, probes: int | Mapping[str, int]) -> tuple[np.ndarray, int]:
+    """How many copies of each cell its visits need, and the number of visits. The driver sees a count per cell."""
     cells = int((index.cells + index.blocks).max(initial=1))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(cells, np.int64)
+        for g, _, x in V.by_group(batches):
+            for a in range(0, len(x), 2048):
+                n += np.bincount(_visited(index, g, x[a : a + 2048], V.of(probes, g))[1], minlength=cells)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["cell", "n"])
+
+    visits = np.zeros(cells, np.int64)
+    for r in queries.select("id", "grp", "vec").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        visits[r["cell"]] = r["n"]
+    return np.maximum(1, -(-visits // VISITS)), int(visits.sum())
+
+
+def _placer(index: V.Index, probes: int | Mapping[str, int], role: int, salt: int, copies: np.ndarray, part: int = 1 << 16):
+    """(cell, role, id, vec, least) of each row: role 0 in its closest list, in every copy of the cell; role 1 once in every cell of its probed lists, in one copy."""
+    first = np.cumsum(copies) - copies
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, mine in V.of_group(batch):
                 ids, x, least = mine.column("id").to_numpy(), V.as_matrix(mine.column("vec")), mine.column("least")
-                half, wanted = x.astype(np.float16), V.of(probes, g)
+                half = x.astype(np.float16)
                 for a in range(0, len(ids), 2048):
-                    lists = index.nearest(g, x[a : a + 2048], wanted if role else 1)
-                    at, lists = np.repeat(np.arange(a, a + len(lists)), lists.shape[1]), lists.reshape(-1)
                     if role:
-                        many = index.blocks[lists]
-                        block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                        key = np.unique(np.repeat(at, many) * cells + np.repeat(index.cells[lists], many) + block)
-                        at, cell = np.divmod(key, cells)
+                        at, cell = _visited(index, g, x[a : a + 2048], V.of(probes, g))
+                        at = at + a
+                        to = first[cell] + (V.mixed(ids[at], salt + 1) % copies[cell].astype(np.uint64)).astype(np.int64)
                     else:
+                        lists = index.nearest(g, x[a : a + 2048], 1)[:, 0]
+                        at = np.arange(a, a + len(lists))
                         cell = index.cells[lists] + (V.mixed(ids[at], salt) % index.blocks[lists].astype(np.uint64)).astype(np.int64)
+                        many = copies[cell]
+                        at, to = np.repeat(at, many), np.repeat(first[cell], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                     for b in range(0, len(at), part):
-                        i, to = at[b : b + part], cell[b : b + part]
+                        i, cells = at[b : b + part], to[b : b + part]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(to), pa.array(np.full(len(i), role, np.int32)), pa.array(ids[i]), V.as_binary(half[i]), least.take(pa.array(i))],
+                            [pa.array(cells), pa.array(np.full(len(i), role, np.int32)), pa.array(ids[i]), V.as_binary(half[i]), least.take(pa.array(i))],
                             ["cell", "role", "id", "vec", "least"],
                         )
 
@@ -77,13 +110,6 @@ def _scanner(k: int, min_cosine: float | None, eps: float, chunk: int = 512):
     return lambda batches: V.cells_of(batches, step)
 
 
-def _copies(index: V.Index, rows: int, probes: int | Mapping[str, int]) -> float:
-    """About how many vectors a search of so many rows sends to cells."""
-    lists = max(1, len(index.cells))
-    most = max(probes.values(), default=1) if isinstance(probes, Mapping) else probes
-    return float(index.held.sum()) + rows * min(most, lists) * len(np.unique(index.cells)) / lists
-
-
 def search(
     base: DataFrame,
     queries: DataFrame,
@@ -105,13 +131,14 @@ def search(
     schema = "cell long, role int, id long, vec binary, least float"
     own = base.select("id", "grp", "vec", F.lit(None).cast("float").alias("least"))
     asked = queries.select("id", "grp", "vec", F.lit(None).cast("float").alias("least"))
-    n = queries.count()
     if bounded:
         seen = search(base, queries, index, k=k, probes=bounded, min_cosine=min_cosine, eps=eps, salt=salt).groupBy(F.col("a").alias("id"))
         least = seen.agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).alias("least"))
         asked = asked.drop("least").join(least, "id", "left").select("id", "grp", "vec", "least")
-    held = own.mapInArrow(_placer(index, 1, 0, salt), schema)
-    rows = V.by_cell(held.union(asked.mapInArrow(_placer(index, probes, 1, salt), schema)), _copies(index, n, probes), "role")
+    copies, visits = _copies(index, queries, probes)
+    held = own.mapInArrow(_placer(index, 1, 0, salt, copies), schema)
+    sent = visits + float(index.held.sum()) * float(copies.mean() if len(copies) else 1)
+    rows = V.by_cell(held.union(asked.mapInArrow(_placer(index, probes, 1, salt, copies), schema)), sent, "role")
     near = rows.mapInArrow(_scanner(k, min_cosine, eps), "a long, b long, cosine float")
     return _best(near, k)
 
