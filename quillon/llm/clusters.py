@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import vectors as V
-from quillon.llm.neighbours import measured, search
+from quillon.llm.neighbours import BROADCAST_IDS, measured, search
 from quillon.runtime import stage
 
 
@@ -190,7 +190,9 @@ def clusters(
     """
     rows = V.prepared(df, id_col, group_col, vector_col, lengths)
     joined = assign(rows, threshold=threshold, probes=probes, sample=sample, block=block)
-    heads = joined.select(F.col("pivot").alias("id")).distinct()
+    heads = stage(joined.select(F.col("pivot").alias("id")).distinct(), "pivot_ids")
+    # beyond this many pivots (8 bytes each) the vectors are shuffled instead
+    heads = F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads
     pivots = stage(rows.join(heads, "id", "left_semi"), "heads")
     # few pivots for many rows: lists close to each other share a cell, so that a row is sent to few
     index = V.fit_index(pivots, sample=sample, block=min(block, 1024), grouped=True)

@@ -232,7 +232,7 @@ def nearest(
     heads = rows.join(others, "id", "left_anti")
     index = V.fit_index(heads, sample=sample, block=block, grouped=min_cosine is None)
     asked = twins.filter(query_filter) if query_filter else twins
-    asking = heads.join(asked.select(F.col("head").alias("id")).distinct(), "id", "left_semi") if query_filter else heads
+    asking = stage(heads.join(asked.select(F.col("head").alias("id")).distinct(), "id", "left_semi"), "asking") if query_filter else heads
     wanted = measured(heads, asking, index, k=k, recall=recall, min_cosine=min_cosine) if probes is None else probes
     found = search(heads, asking, index, k=k, probes=wanted, min_cosine=min_cosine, eps=eps, bounded=8 if min_cosine is None and probes is None else 0)
     shown = twins.filter(F.col("place") <= k + 1).select("head", F.col("id").alias("b"))
