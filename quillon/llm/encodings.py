@@ -18,6 +18,7 @@ symbols of several characters by pattern.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 import unicodedata
@@ -259,21 +260,27 @@ def _utf8(word: str, shown: str) -> str | None:
     return out if hit else None
 
 
+def _several(word: str, shown: str, true: str) -> tuple[str, int] | None:
+    """The letters of several bytes each that a word of the page shows, and where its end begins that is cut off and shows none; None if it cannot be read."""
+    page = PAGES[shown]
+    raw = bytes([page[c] for c in word])
+    try:
+        return raw.decode(true), len(raw)
+    except UnicodeDecodeError as e:
+        if e.start < len(raw) - 2 or e.start < 4:
+            return None
+        return raw[: e.start].decode(true), e.start
+
+
 def decipher(word: str, shown: str, true: str) -> str | None:
     """The word as the source reads it, None if it cannot."""
     if true != "utf-8" and not PAGE_SETS[shown].issuperset(word):
         return None
     if true == "utf-8":
         return _utf8(word, shown)
-    page = PAGES[shown]
     if true in MULTI:
-        raw = bytes([page[c] for c in word])
-        try:
-            return raw.decode(true)
-        except UnicodeDecodeError as e:  # the end may be cut off
-            if e.start < len(raw) - 2 or e.start < 4:
-                return None
-            return raw[: e.start].decode(true) + word[e.start :]
+        read = _several(word, shown, true)
+        return None if read is None else read[0] + word[read[1] :]
     get = TABLES[shown, true].get
     return "".join([get(o, c) if (o := ord(c)) > 127 else c for c in word])
 
@@ -299,15 +306,13 @@ def symbols(word: str, shown: str, true: str) -> list[tuple[str, str]] | None:
         return None
     if true not in MULTI:
         return list(zip(word, text, strict=True))
-    out, at = [], 0
-    for c in text:
-        try:
-            size = len(c.encode(true)) if at < len(word) else 0
-        except UnicodeEncodeError:  # behind a letter that was cut off
-            size = 1
-        out.append((word[at : at + size], c))
-        at += size
-    return out
+    out, at, end = [], 0, _several(word, shown, true)[1]
+    decoder = codecs.getincrementaldecoder(true)()
+    for k, c in enumerate(word[:end], 1):
+        if letter := decoder.decode(bytes([PAGES[shown][c]])):
+            out.append((word[at:k], letter))
+            at = k
+    return [*out, *zip(word[end:], word[end:], strict=True)]  # an end that is cut off stands for itself
 
 
 def learn_table(

@@ -70,6 +70,30 @@ def test_symbols_are_what_is_deciphered(shown, true):
             assert "".join(c for _, c in parts) == (text or word) and "".join(x for x, _ in parts) == word
 
 
+@pytest.mark.parametrize(("shown", "true"), [s for s in encodings.SOURCES if s[1] in ("cp932", "euc_jp")])
+def test_an_end_that_is_cut_off_stands_for_itself(shown, true):
+    r, page = random.Random(1), {b: c for c, b in encodings.PAGES[shown].items()}
+    words = ["".join(page.get(r.choice([r.randint(128, 255), r.randint(33, 126)]), "x") for _ in range(r.randint(4, 7))) for _ in range(20000)]
+    words += ["".join(page.get(b, "x") for b in "川の古い".encode(true) + b) for b in (b"\x85\xc2", b"\x8f\xa2\xb7a", b"\xa1,", b"\x85;")]
+    cut = 0
+    for word in words:
+        parts = encodings.symbols(word, shown, true)
+        if parts is not None:
+            assert all(x for x, _ in parts) and "".join(x for x, _ in parts) == word and "".join(c for _, c in parts) == encodings.decipher(word, shown, true)
+            assert all(encodings.symbols(x, shown, true) == [(x, c)] for x, c in parts if x != c)
+            cut += parts[-1] == (word[-1], word[-1]) and word[-1] > "\x7f"
+    assert cut
+
+
+def test_words_with_an_end_that_is_cut_off_are_learned_from(spark):
+    songs = ["川は古い家の下にある", "彼らは戻らなかった", "青い自転車を海の向こうへ投げた"]
+    ways = {k: songs[k % 3].encode("euc_jp")[: 12 + k % 4].decode("latin-1") + end for k, end in zip(range(40, 80), ["¤)", "°L", "¤,", "É2"] * 10, strict=True)}
+    df = _songs(spark, lambda k, s: ways.get(k, songs[k % 3] if k % 2 else s))
+    cipher, _ = encodings.learn(df, "row_id", ["lyrics"])
+    assert all(x for table in cipher.tables.values() for x in table)
+    assert set(ways) <= {r.row_id for r in encodings.garbled(df, "row_id", ["lyrics"]).collect()}
+
+
 def test_found_has_the_rows_of_the_restored(spark):
     df = _songs(spark, lambda k, s: s.encode("utf-8").decode("latin-1") if k in (3, 5) else s)
     df = df.unionByName(df.filter("row_id = 3")).unionByName(df.filter("row_id = 5").withColumn("row_id", F.lit(None).cast("long")))
