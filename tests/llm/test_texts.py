@@ -144,6 +144,27 @@ def test_found_terms_need_no_score(spark, tmp_path):
     assert {(1, "rare"), (2, "rare")} <= set(rows(queries.p2_found(spark, str(tmp_path))))
 
 
+def test_found_terms_come_without_scores(spark, tmp_path, monkeypatch):
+    from quillon.llm import queries
+
+    songs = [(1, "t", "rare rare rare"), (2, "t", "rare twice twice twice"), (2, None, "twice common common common"), (3, "t", "common")]
+    songs += [(k, "common", None) for k in range(4, 10)]
+    spark.createDataFrame(songs, "row_id long, track_name string, lyrics string").write.parquet(f"{tmp_path}/spotify_songs.parquet")
+    staged, stage = [], distinctive.stage
+    monkeypatch.setattr(distinctive, "stage", lambda df, label="stage", *a: staged.append((label, df.columns)) or stage(df, label, *a))
+    assert rows(queries.p2_found(spark, str(tmp_path))) == [(1, "rare")]
+    assert staged == [("record_terms", ["_id", "term", "y"]), ("terms", ["term"])]
+
+
+def test_terms_within_are_those_scored(spark):
+    docs = [(k, " ".join(random.Random(k).choices(["aaa", "bbb", "ccc", "ddd", "eee", "fff"], k=8)), None) for k in range(30)] + [(30, None, ""), (31, "ab 12", None)]
+    df = spark.createDataFrame(docs, "id int, a string, b string")
+    for bounds in ({}, {"min_count": 2}, {"min_count": 3, "min_df": 2, "max_df": 22}):
+        got = rows(distinctive.terms_within(df, "id", ["a", "b"], **bounds))
+        assert got and got == rows(distinctive.score_terms(df, "id", ["a", "b"], **bounds).select("id", "term")), bounds
+    assert distinctive.terms_within(df.limit(0), "id", ["a", "b"]).count() == 0
+
+
 # languages
 
 WORDS = {
